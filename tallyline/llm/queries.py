@@ -26,7 +26,36 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Vocabulary files every machine has.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()).select("text", "lang"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.bpe import bpe
+
+    out = bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op9_suffix_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op6_jaccard_join, op8_language_id, op9_suffix_dedup, op10_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
