@@ -34,6 +34,53 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def host_list(pages: DataFrame) -> DataFrame:
+    """Two lists dated over 2024, made from the hosts of the pages: a hash of the host says if and when it is listed."""
+    from tallyline.llm.url_filter import host_of
+
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    byte = lambda i: F.conv(F.substring(F.md5("host"), i, 2), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    first = hosts.where(byte(1) % 3 == 0).withColumns({"list": F.when(byte(3) % 2 == 0, "adult").otherwise("malware"), "start": byte(5)})
+    added = first.select("list", "host", F.lit("add").alias("action"), day(F.col("start")).alias("dated"))
+    gone = first.where(byte(7) % 2 == 0).select("list", "host", F.lit("remove").alias("action"), day(F.col("start") + 1 + byte(9) % 90).alias("dated"))
+    return added.union(gone)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch time: page_id spreads them over 2024."""
+    from tallyline.llm.url_filter import url_filter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    out = url_filter(captures, host_list(pages))
+    return out.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "host", "blocked", "lists")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.lsh_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyline.llm.jaccard_join import jaccard_join
 
@@ -56,6 +103,85 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op6_jaccard_join, op8_language_id, op9_suffix_dedup, op10_bpe)
+    f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_topk, op5_mixing, op6_jaccard_join, op7_lsh_forest, op8_language_id, op9_suffix_dedup, op10_bpe)
+}
+
+def _license_sql() -> str:
+    from tallyline.llm.license_scan import TEMPLATES
+
+    values = ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+    words = r"string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    at = "unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i, 's': array_to_string(w[i:i+4], ' ')}), recursive := true)"
+    return f"""
+WITH t AS (SELECT license, {words.format("notice")} AS w FROM (VALUES {values}) x(license, notice)),
+ts AS (SELECT license, len(w) - 4 AS span, {at} FROM t WHERE len(w) >= 5),
+tn AS (SELECT license, any_value(span) AS span, count(DISTINCT s) AS n_template FROM ts GROUP BY 1),
+ds AS (SELECT doc_id, {at} FROM (SELECT doc_id, {words.format("text")} AS w FROM documents) WHERE len(w) >= 5),
+m AS (SELECT DISTINCT d.doc_id, d.at, d.s, x.license FROM ds d JOIN (SELECT DISTINCT license, s FROM ts) x ON d.s = x.s),
+c AS (SELECT a.doc_id, a.license, a.at, count(DISTINCT b.s) AS n FROM m a JOIN tn USING (license) JOIN m b ON a.doc_id = b.doc_id AND a.license = b.license AND b.at BETWEEN a.at AND a.at + tn.span - 1 GROUP BY 1, 2, 3)
+SELECT doc_id, license, any_value(n_template) AS n_template, max(n) AS n_found FROM c JOIN tn USING (license) GROUP BY 1, 2 HAVING any_value(n_template) * 75 <= 100 * max(n)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op3_url_filter": r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_at,
+    coalesce(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '') AS host
+  FROM pages
+), b AS (
+  SELECT host, CAST('0x' || substr(m, 1, 2) AS INTEGER) AS b1, CAST('0x' || substr(m, 3, 2) AS INTEGER) AS b2, CAST('0x' || substr(m, 5, 2) AS INTEGER) AS b3,
+    CAST('0x' || substr(m, 7, 2) AS INTEGER) AS b4, CAST('0x' || substr(m, 9, 2) AS INTEGER) AS b5
+  FROM (SELECT host, md5(host) AS m FROM (SELECT DISTINCT host FROM p WHERE host <> ''))
+), i AS (
+  SELECT CASE WHEN b2 % 2 = 0 THEN 'adult' ELSE 'malware' END AS list, host, DATE '2024-01-01' + b3 AS since,
+    CASE WHEN b4 % 2 = 0 THEN DATE '2024-01-01' + b3 + 1 + b5 % 90 END AS until FROM b WHERE b1 % 3 = 0
+), v AS (
+  SELECT a.host AS host, a.fetched_at AS fetched_at, string_agg(DISTINCT i.list, ',' ORDER BY i.list) AS lists
+  FROM (SELECT DISTINCT host, fetched_at FROM p WHERE host <> '') a
+  JOIN i ON (a.host = i.host OR ends_with(a.host, '.' || i.host)) AND a.fetched_at >= i.since AND (i.until IS NULL OR a.fetched_at < i.until)
+  GROUP BY 1, 2
+)
+SELECT page_id, url, CAST(p.fetched_at AS VARCHAR) AS fetched_at, p.host AS host, v.lists IS NOT NULL AS blocked, coalesce(v.lists, '') AS lists
+FROM p LEFT JOIN v ON p.host = v.host AND p.fetched_at = v.fetched_at
+""",
+    "op5_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), g AS (SELECT doc_id AS gid, max(quality) AS grade FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (number - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s
+), f AS (
+  SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS below,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w
+), l AS (
+  SELECT *, max(CASE WHEN (total - below) / open <= cap / weight THEN (total - below) / open END) OVER () AS level FROM f
+), t AS (SELECT *, least(cap, coalesce(level, 0.0::DOUBLE) * weight) AS target FROM l
+), k AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.number,
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+      / CASE g.grade WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON d.doc_id = g.gid
+), a AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY number ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+    CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM k
+)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - epochs * source_size - ahead)) AS BIGINT) AS taken FROM a
+""",
+    "op4_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
