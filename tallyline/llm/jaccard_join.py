@@ -2,7 +2,8 @@
 
 A document's shingles are put in one order for all (rare before frequent); two sets with a Jaccard similarity of at
 least t share a shingle in prefixes of n - ceil(t n) + 1. A document whose prefix would meet many others takes a
-prefix longer by ``need`` - 1 instead, and a pair must then share as many as the less demanding of the two asks for.
+prefix longer by ``need`` - 1 instead. A pair must share as many prefix shingles as the lengths of both prefixes ask for
+(each set has few that its partner may lack; the rest of its prefix is shared).
 
 Equal sets are one class. Links between classes are found in two steps, so that a group of g near copies costs about
 g checks and not g * g: first every member of a shingle's group against the group's most common member (the one
@@ -181,12 +182,17 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
     marked = written(near.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     mixed = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
     open_ = written(marked.join(mixed, "token"))
-    one = open_.where("label != main").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "need", "label")))
-    across = one.join(open_, "token").where((F.col("label1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("rep1") < F.col("rep"))) & alike(F.col("n"), F.col("n1")))
+    # What a document can share with others: its prefix tokens in groups of several components.
+    open_ = written(open_.join(open_.groupBy("rep").agg(F.count(F.lit(1)).alias("can")), "rep").withColumn("size", F.expr(f"n - ceil({percent} * n / 100) + need")))
+    one = open_.where("label != main").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "size", "label", "can")))
+    # A set of a has at most a - (least overlap) tokens that its partner lacks, so of a prefix at least the rest is shared.
+    overlap = F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent))
+    must = F.least(F.col("size") - F.col("n"), F.col("size1") - F.col("n1")) + overlap
+    across = one.join(open_, "token").where((F.col("label1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("rep1") < F.col("rep"))) & alike(F.col("n"), F.col("n1")) & (F.least("can", "can1") >= must))
     tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     across = (
         across.groupBy(F.least("rep", "rep1").alias("x"), F.greatest("rep", "rep1").alias("y"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need", "need1")).alias("need")).where("shared >= need")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(must).alias("must")).where("shared >= must")
         .select("x", "y").join(tried, ["x", "y"], "left_anti")
     )
     more = verified(docs, written(across), size, percent)
