@@ -66,16 +66,17 @@ class Lattice:
         return out
 
     def _key(self, piece: str) -> int:
-        return int(self._keys(self._codes([piece], len(piece)), len(piece))[0, 0])
+        codes = self._codes([piece], len(piece))
+        h = np.ones_like(codes)
+        for n in range(1, len(piece) + 1):
+            h = self._longer(h, codes, n)
+        return int(h[0, 0])
 
     @staticmethod
-    def _keys(codes: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of all runs of n letters in each row."""
+    def _longer(h: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n letters in each row, from those of n - 1 (ones, if n is 1)."""
         width = codes.shape[1] - n + 1
-        h = np.full((len(codes), width), n, np.uint64)
-        for j in range(n):
-            h = T.mix(h * T.U64(0x9E3779B97F4A7C15) + codes[:, j : j + width])
-        return h
+        return T.mix(h[:, :width] * T.U64(0x9E3779B97F4A7C15) + codes[:, n - 1 : n - 1 + width])
 
     def arcs(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the words, and ids[n - 1, word, start] of the piece of n letters there (size: none)."""
@@ -83,10 +84,10 @@ class Lattice:
         width = int(lengths.max())
         codes = self._codes(batch, width)
         ids = np.full((min(PIECE, width), len(batch), width), self.size, np.int32)
-        h = np.zeros((len(batch), width), np.uint64)
+        h = np.ones_like(codes)
         for n in range(1, min(PIECE, width) + 1):
             w = width - n + 1
-            h = self._keys(codes, n)
+            h = self._longer(h, codes, n)
             at = np.minimum(np.searchsorted(self.key, h), self.size - 1)
             hit = (self.key[at] == h) & (np.arange(w) + n <= lengths[:, None])
             ids[n - 1, :, :w][hit] = self.order[at[hit]]
@@ -162,8 +163,14 @@ class Model:
     langs: list[str]
     prob: np.ndarray
 
+    @property
+    def name(self) -> tuple:
+        return self.path, tuple(self.langs), hash(self.prob.tobytes())
+
 
 _LATTICES: dict[str, Lattice] = {}
+#: Scores of words that this worker has met, for the model it last used.
+_KNOWN: dict = {"model": None, "at": {}, "table": None}
 
 
 def lattice_of(path: str) -> Lattice:
@@ -212,18 +219,20 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = held.value
         lattice = lattice_of(m.path)
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(m.langs)))
+        if _KNOWN["model"] != (name := m.name):
+            _KNOWN.update(model=name, at={}, table=np.zeros((0, len(m.langs))))
+        known, table = _KNOWN["at"], _KNOWN["table"]
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             langs, scores = [], []
             for a in range(0, len(texts), 256):
                 docs = [Counter(words(t)) for t in texts[a : a + 256]]
                 if len(known) > WORDS:
-                    known, table = {}, table[:0]
+                    known.clear()
+                    table = table[:0]
                 if m.langs and (new := list({w for d in docs for w in d} - known.keys())):
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    table = np.concatenate((table, likelihoods(lattice, new, m.prob)))
+                    table = _KNOWN["table"] = np.concatenate((table, likelihoods(lattice, new, m.prob)))
                 for d in docs:
                     if not d or not m.langs:
                         langs.append("und")
