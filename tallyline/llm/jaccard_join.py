@@ -2,8 +2,8 @@
 
 A document's shingles are put in one order for all (rare before frequent); two sets with a Jaccard similarity of at
 least t share a shingle in prefixes of n - ceil(t n) + 1. A document whose prefix would meet many others takes a
-prefix longer by ``need`` - 1 instead. A pair must share as many prefix shingles as the lengths of both prefixes ask for
-(each set has few that its partner may lack; the rest of its prefix is shared).
+prefix longer by ``need`` - 1 instead. A pair must then share as many as the less
+demanding of the two asks for, in the shorter prefixes that their two sizes leave.
 
 Equal sets are one class. Links between classes are found in two steps, so that a group of g near copies costs about
 g checks and not g * g: first every member of a shingle's group against the group's most common member (the one
@@ -74,7 +74,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of kind PREFIX (token, doc, n, need, common) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash)."""
+    """Rows of kind PREFIX (token, doc, n, need, common, k1: place in the order) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))  # at most FREQUENT entries
 
     def run(batches):
@@ -107,8 +107,8 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             need = np.minimum(1 + sum((cost > c).astype(int) for c in COSTS), np.maximum(least, 1))
             inside = np.flatnonzero(place < (base + need - 1)[d])
             common = 1000 * np.bincount(d, lev > 0, len(raw)) // np.maximum(n, 1)
-            w, none = d[inside], np.zeros(len(inside))
-            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], none, none)
+            w = d[inside]
+            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], place[inside], np.zeros(len(w)))
 
     rows = docs.mapInArrow(run, "token long, kind byte, doc long, n int, need int, common int, k1 long, k2 long").repartition("token")
     return written(rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(f"kind = {MEMBER} OR rows > 1").drop("rows"))
@@ -171,7 +171,7 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
     classes = member.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
     member = written(member.join(classes, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     reps = member.select("doc", "rep").distinct()
-    near = found.where(f"kind = {PREFIX}").join(reps, "doc").groupBy("token", "rep").agg(*(F.max(c).alias(c) for c in ("n", "need", "common")))
+    near = found.where(f"kind = {PREFIX}").join(reps, "doc").withColumnRenamed("k1", "place").groupBy("token", "rep").agg(*(F.max(c).alias(c) for c in ("n", "need", "common", "place")))
     near = written(near)
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     middle = near.groupBy("token").agg(F.max(F.struct("common", (-F.col("rep")).alias("back"), F.col("n").alias("size"))).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", (-F.col("m.back")).alias("x"), F.col("m.size").alias("xn"))
@@ -182,13 +182,12 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
     marked = written(near.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     mixed = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
     open_ = written(marked.join(mixed, "token"))
-    # What a document can share with others: its prefix tokens in groups of several components.
-    open_ = written(open_.join(open_.groupBy("rep").agg(F.count(F.lit(1)).alias("can")), "rep").withColumn("size", F.expr(f"n - ceil({percent} * n / 100) + need")))
-    one = open_.where("label != main").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "size", "label", "can")))
-    # A set of a has at most a - (least overlap) tokens that its partner lacks, so of a prefix at least the rest is shared.
+    one = open_.where("label != main").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "need", "label", "place")))
+    # For two given sizes the prefixes that matter are shorter than for any partner: n - overlap + need of each.
     overlap = F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent))
-    must = F.least(F.col("size") - F.col("n"), F.col("size1") - F.col("n1")) + overlap
-    across = one.join(open_, "token").where((F.col("label1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("rep1") < F.col("rep"))) & alike(F.col("n"), F.col("n1")) & (F.least("can", "can1") >= must))
+    must = F.least("need", "need1")
+    early = (F.col("place") < F.col("n") - overlap + must) & (F.col("place1") < F.col("n1") - overlap + must)
+    across = one.join(open_, "token").where((F.col("label1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("rep1") < F.col("rep"))) & alike(F.col("n"), F.col("n1")) & early)
     tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     across = (
         across.groupBy(F.least("rep", "rep1").alias("x"), F.greatest("rep", "rep1").alias("y"))
