@@ -25,7 +25,7 @@ def strip_trailing_inn(text: Column) -> Column:
 def parse_counterparty(blob: Column) -> Column:
     """struct(account, inn, name, bank_code, purpose) of a combined cell: tagged (in one line, or lines of tags, name, purpose), parts between slashes, or a name with INN."""
     raw = F.coalesce(blob, F.lit(""))
-    lines = F.filter(F.transform(F.split(raw, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     empty = F.lit("")
 
@@ -40,7 +40,7 @@ def parse_counterparty(blob: Column) -> Column:
     text = clean_text(raw)
     after = F.regexp_replace(F.regexp_extract(text, TAGGED + "(.*)$", 4), r"^[ /|\-]+|[ /|\-]+$", "")
     one = made(tag(text, 2), tag(text, 3), after, tag(text, 1))
-    p = F.transform(F.split(text, "/"), F.trim)
+    p = F.transform(F.split(text, "/"), lambda x: F.trim(x))
     is_inn = F.coalesce(F.get(p, F.lit(1)), empty).rlike(r"^\d{7,12}$")
     slashed = F.when((F.size(p) >= 3) & is_inn, made(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.array_join(F.slice(p, 3, 10_000), "/"), empty)).otherwise(made(F.get(p, F.lit(0)), empty, F.array_join(F.slice(p, 2, 10_000), "/"), empty))
     plain = strip_trailing_inn(text)
