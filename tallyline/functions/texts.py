@@ -41,7 +41,11 @@ def _folded(words: Iterable[str]) -> list[str]:
 
 def match_role(label: Column) -> Column:
     """The role of a column label, or null: exact labels of all roles in order, then parts of labels in order."""
-    s = fold_homoglyphs(normalize_label(label))
+    return role_of(fold_homoglyphs(normalize_label(label)))
+
+
+def role_of(s: Column) -> Column:
+    """match_role of a label that is normalized and folded already (in a lambda, so that this happens once)."""
     exact = [F.when(s.isin(_folded(e)), F.lit(r)) for r, e, _ in ROLES if _folded(e)]
     part = [F.when(_any(s, _folded(p), Column.contains), F.lit(r)) for r, _, p in ROLES if _folded(p)]
     return F.when((s != "") & (F.length(s) <= 90), F.coalesce(*exact, *part))
@@ -58,6 +62,11 @@ def markers(kind: str) -> list[str]:
     return [w for w in map(plain_label, parts(MARKERS[kind])) if w]
 
 
+def starts_with_any(normalized: Column, *kinds: str) -> Column:
+    """A normalized text starts with a marker of one of these kinds."""
+    return _any(normalized, [w for k in kinds for w in markers(k)], Column.startswith)
+
+
 def has_marker(text: Column, kind: str) -> Column:
     return _any(normalize_label(text), markers(kind), Column.contains)
 
