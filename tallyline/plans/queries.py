@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline import functions as fn
-from tallyline.operators import ledger, rows
+from tallyline.operators import ledger, rows, sinks, statements
 from tallyline.streaming import monitor
 
 QUERIES: dict = {}
@@ -320,3 +320,56 @@ def flat_transactions(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), account(F.col("c_custkey"), F.col("c_nationkey")).alias("account_number"))
     r = ledger_rows(spark, sf_dir).where("debit_amount <> 0 OR credit_amount <> 0").join(c, "custkey")  # PRD7
     return plain(ledger.flat(c, r.select("account_number", "debit_amount", "credit_amount")))
+
+
+HEADER = ("Дата", "№ док", "Дебет", "Кредит", "Счет", "Назначение платежа")
+
+
+def sheets(spark, sf_dir):
+    """A sheet for each customer with orders: caption, header, orders (F: debits), total, balance."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY).alias("p"), "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), account(F.col("c_custkey"), F.col("c_nationkey")).alias("a"))
+    file, none, debit = F.col("o_custkey").cast("string").alias("file"), F.lit(None).cast("string"), F.col("o_orderstatus") == "F"
+    text = F.translate(F.format_number("p", 2), ",", " ")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    line = lambda *x: F.array(*x, *[none] * (6 - len(x)))
+    body = o.select(file, (n + 1).alias("row_idx"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy HH:mm:ss"), F.col("o_orderkey").cast("string"), F.when(debit, text), F.when(~debit, text), F.concat(F.lit("20208000"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")), F.col("o_orderpriority")).alias("cells"))
+    t = o.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("int").alias("n"), F.coalesce(F.sum(F.when(debit, F.col("p"))), F.lit(0)).cast(MONEY).alias("d"), F.coalesce(F.sum(F.when(~debit, F.col("p"))), F.lit(0)).cast(MONEY).alias("c")).join(c, "o_custkey")
+    rest = F.array(
+        F.struct(F.lit(0).alias("row_idx"), line(F.concat(F.lit("Лицевой счет № "), F.col("a"))).alias("cells")), F.struct(F.lit(1).alias("row_idx"), F.array(*map(F.lit, HEADER)).alias("cells")),
+        F.struct((F.col("n") + 2).alias("row_idx"), line(F.lit("Итого"), none, F.col("d").cast("string"), F.col("c").cast("string")).alias("cells")),
+        F.struct((F.col("n") + 3).alias("row_idx"), line(F.concat(F.lit("Итого документов: "), F.col("n").cast("string"))).alias("cells")),
+    )
+    g = body.unionByName(t.select(file, F.inline(rest)))
+    return g.select("file", F.lit(0).alias("sheet"), "row_idx", "cells", F.transform("cells", lambda x: F.lit(False)).alias("numeric"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS file, strftime(o_orderdate, '%d.%m.%Y %H:%M:%S') AS transaction_date, CAST(o_orderkey AS VARCHAR) AS document_number, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END AS debit_amount, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS credit_amount,
+'20208000' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS counterparty_account, o_orderpriority AS payment_purpose, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 2 AS INTEGER) AS source_row FROM orders""")
+def statement_transactions(spark, sf_dir):
+    """Orders written as statements and parsed back."""
+    t = statements.transactions(statements.sectioned(sheets(spark, sf_dir)))
+    return plain(t.select("file", "transaction_date", "document_number", "debit_amount", "credit_amount", "counterparty_account", "payment_purpose", "source_row"))
+
+
+@query(f"""WITH t AS (SELECT o_custkey, count(*) AS n, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F'), 0) AS DOUBLE) AS d, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus <> 'F'), 0) AS DOUBLE) AS c FROM orders GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS file, {ACCOUNT_SQL} AS account_number, CASE c_nationkey % 3 WHEN 0 THEN 'UZS' WHEN 1 THEN 'USD' ELSE 'EUR' END AS currency, n AS transaction_count, d AS total_debit, c AS total_credit, d AS stated_debit, c AS stated_credit, n AS stated_count, 'row' AS layout, true AS passed FROM t JOIN customer ON c_custkey = o_custkey""")
+def statement_accounts(spark, sf_dir):
+    s = statements.sectioned(sheets(spark, sf_dir))
+    a = statements.accounts(s, statements.transactions(s))
+    return plain(a.select("file", "account_number", "currency", "transaction_count", "total_debit", "total_credit", "stated_debit", "stated_credit", "stated_count", "layout", "passed"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.5' END AS shown FROM orders")
+def amount_json(spark, sf_dir):
+    p = F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice").cast("decimal(28,4)")).otherwise((F.floor("o_totalprice") + F.lit("0.5").cast("decimal(4,1)")).cast("decimal(28,4)"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(sinks.amount(p)).alias("shown"))
+
+
+@query("SELECT page_id, 'html' AS kind FROM pages WHERE html LIKE '<%' UNION ALL SELECT doc_id, 'csv' FROM documents WHERE text IS NOT NULL")
+def format_sniff(spark, sf_dir):
+    from tallyline.sources.files import sniff
+
+    p = table(spark, sf_dir, "pages").where("html LIKE '<%'").select("page_id", F.encode(F.concat(F.lit("<html>"), F.col("html")), "UTF-8").alias("b"), F.lit("statement.xls").alias("name"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.encode(F.concat(F.lit("id;"), F.col("doc_id").cast("string")), "UTF-8").alias("b"), F.lit("/in/x.CSV").alias("name"))
+    return p.unionByName(d).select("page_id", sniff(F.col("b"), F.col("name")).alias("kind"))
