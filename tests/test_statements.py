@@ -4,7 +4,6 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import functions as fn
@@ -35,14 +34,27 @@ def grid(spark, **sheets):
     return spark.createDataFrame(rows, "file string, sheet int, row_idx int, cells array<string>, numeric array<boolean>")
 
 
+@pytest.fixture
+def keep(spark, tmp_path):
+    """Writes a table and reads it again."""
+    made = []
+
+    def written(d):
+        made.append(str(tmp_path / f"t{len(made)}"))
+        d.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    return written
+
+
 @pytest.fixture(scope="module")
-def result(spark):
-    out = st.statements(grid(spark, row=ROW, block=BLOCK, none=[["nothing", "here"]]), keep=DataFrame.persist)
-    for d in out:
-        d.cache()
-    yield out
-    for d in out:
-        d.unpersist()
+def result(spark, tmp_path_factory):
+    def written(d):
+        path = str(tmp_path_factory.mktemp("t") / "p")
+        d.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return tuple(map(written, st.statements(grid(spark, row=ROW, block=BLOCK, none=[["nothing", "here"]]), keep=written)))
 
 
 def test_rows(result):
@@ -71,8 +83,8 @@ def test_accounts(result):
     assert {x.file: (x.bank, x.layout, len(x.warnings)) for x in result[0].collect()} == {"row": ("ipoteka", "row", 0), "block": ("unknown", "block", 0), "none": ("unknown", "", 1)}
 
 
-def test_several_sections_share_the_rows_between(spark):
-    f, a, t = st.statements(grid(spark, x=ROW + [[""]] + BLOCK), keep=DataFrame.persist)
+def test_several_sections_share_the_rows_between(spark, keep):
+    f, a, t = st.statements(grid(spark, x=ROW + [[""]] + BLOCK), keep=keep)
     got = a.orderBy("section").collect()
     assert [(r.account_number, r.transaction_count, r.stated_count) for r in got] == [(A, 2, 2), (B, 2, 2)]
     assert [float(x) for x in (got[0].closing_balance, got[0].stated_credit)] == [2899.5, 2000.0]
@@ -143,14 +155,15 @@ def test_files(spark, tmp_path):
     assert sinks.exit_status(files.read_statements(spark, str(tmp_path)), spark.createDataFrame([], "file string")) == 2
 
 
-def test_csv_statement_end_to_end(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("\n".join(";".join(r + [""] * (8 - len(r))) for r in ROW), encoding="utf-8")
-    f, a, t = st.statements(files.read_statements(spark, str(tmp_path)), keep=DataFrame.persist)
+def test_csv_statement_end_to_end(spark, tmp_path, keep):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.csv").write_text("\n".join(";".join(r + [""] * (8 - len(r))) for r in ROW), encoding="utf-8")
+    f, a, t = st.statements(files.read_statements(spark, str(tmp_path / "in")), keep=keep)
     assert a.head().passed and t.count() == 2 and f.head().bank == "ipoteka"
 
 
-def test_empty_input(spark):
-    for d in st.statements(grid(spark, x=[]).limit(0), keep=DataFrame.persist):
+def test_empty_input(spark, keep):
+    for d in st.statements(grid(spark, x=[]).limit(0), keep=keep):
         assert d.count() == 0
 
 
