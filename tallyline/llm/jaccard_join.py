@@ -9,6 +9,10 @@ Equal sets are one class. Links between classes are found in two steps, so that
 g checks and not g * g: first every member of a shingle's group against the group's most common member (the one
 nearest to what the group copies); then, where a group still spans several components, all pairs across components.
 Every link is between documents that end up in one component, or is checked.
+
+Before texts are sent to be checked, a pair's sketches are compared: bit b of a sketch is the parity of the shingles
+that hash to b, so two sets differ in at least as many shingles as their sketches in bits. A pair whose sketches differ
+in more bits than a link allows cannot link; no link is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ FREQUENT, TOGETHER = 1 << 17, 64
 #: Estimated candidates from which a prefix asks for one more shared shingle each.
 COSTS = (256, 4096, 65536)
 PREFIX, MEMBER = 0, 1
+#: Bits of the smallest sketch; larger sets have the power of two at or above their size.
+SKETCH = 256
 
 
 def shingles(raw: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,6 +60,28 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def sketches(g: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One sketch per document; halves folded by XOR give the sketch of half as many bits."""
+    bits = (1 << np.ceil(np.log2(np.maximum(n, SKETCH))).astype(np.int64)) if len(n) else np.zeros(0, np.int64)
+    end = np.cumsum(bits // 8)
+    data = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    at = (T.mix(g + T.U64(2)) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(data, (end - bits // 8)[d] + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+    offsets = np.concatenate(([0], end)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter one's length."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x & ((1 << size) - 1)) ^ (x >> size)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and the binary logarithm of their counts.
 
@@ -74,7 +102,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of kind PREFIX (token, doc, n, need, common, k1: place in the order) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash)."""
+    """Rows of kind PREFIX (token, doc, n, need, common, k1: place in the order) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash, sketch)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))  # at most FREQUENT entries
 
     def run(batches):
@@ -88,9 +116,9 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             k1, k2 = np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
             np.add.at(k1, d, T.mix(g + T.U64(1)))
             np.bitwise_xor.at(k2, d, T.mix(g * T.U64(0xC2B2AE3D27D4EB4F)))
-            row = lambda key, kind, doc, n, need, common, a, b: pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(common.astype(np.int32)), pa.array(signed(a)), pa.array(signed(b))], names=["token", "kind", "doc", "n", "need", "common", "k1", "k2"])
+            row = lambda key, kind, doc, n, need, common, a, b, sketch: pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(common.astype(np.int32)), pa.array(signed(a)), pa.array(signed(b)), sketch], names=["token", "kind", "doc", "n", "need", "common", "k1", "k2", "sketch"])
             zero = np.zeros(len(raw), np.int32)
-            yield row(T.mix(ids.astype(np.uint64)), MEMBER, ids, n, zero, zero, k1, k2)
+            yield row(T.mix(ids.astype(np.uint64)), MEMBER, ids, n, zero, zero, k1, k2, sketches(g, d, n))
             if len(g) == 0:
                 continue
             lev = np.zeros(len(g), np.int8)
@@ -108,16 +136,40 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             inside = np.flatnonzero(place < (base + need - 1)[d])
             common = 1000 * np.bincount(d, lev > 0, len(raw)) // np.maximum(n, 1)
             w = d[inside]
-            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], place[inside], np.zeros(len(w)))
+            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], place[inside], np.zeros(len(w)), pa.nulls(len(w), pa.binary()))
 
-    rows = docs.mapInArrow(run, "token long, kind byte, doc long, n int, need int, common int, k1 long, k2 long").repartition("token")
+    rows = docs.mapInArrow(run, "token long, kind byte, doc long, n int, need int, common int, k1 long, k2 long, sketch binary").repartition("token")
     return written(rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(f"kind = {MEMBER} OR rows > 1").drop("rows"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets link. x's text goes to all its y, in parts of about TOGETHER."""
+def dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs with a part of x: about TOGETHER pairs each, so that no x fills a task."""
     parts = pairs.join(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts")), "x").withColumn("part", F.expr("pmod(xxhash64(y), parts)"))
-    parts = written(parts.select("x", "part", "y"))
+    return written(parts.select("x", "part", "y"))
+
+
+def possible(sketch: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sketches leave room for a link."""
+    of = lambda c: sketch.select(F.col("doc").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
+    parts = dealt(pairs)
+    own = parts.select("x", "part").distinct().join(of("x"), "x")
+    both = parts.join(own, ["x", "part"]).join(of("y"), "y").select("x", "y", "xn", "yn", "xs", "ys")
+
+    def run(batches):
+        for batch in batches:
+            x, y, xn, yn, xs, ys = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(x)):
+                total = xn[i] + yn[i]
+                keep.append(differing(xs[i], ys[i]) <= total - 2 * -(-percent * total // (100 + percent)))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return written(both.mapInArrow(run, "x long, y long"))
+
+
+def verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets link. x's text goes to all its y, in parts of about TOGETHER."""
+    parts = dealt(possible(sketch, pairs, percent))
     asked = written(parts.select(F.col("y").alias("doc_id"), "x", "part", F.lit(1).alias("role")).union(parts.select(F.col("x").alias("doc_id"), "x", "part", F.lit(0).alias("role")).distinct()))
     sent = docs.join(asked, "doc_id").select("x", "part", "role", "doc_id", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role", "doc_id")
 
@@ -170,13 +222,14 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
     member = found.where(f"kind = {MEMBER}").select("doc", "n", "k1", "k2")
     classes = member.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
     member = written(member.join(classes, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
+    sketch = written(found.where(f"kind = {MEMBER}").select("doc", "n", "sketch").dropDuplicates(["doc"]))
     reps = member.select("doc", "rep").distinct()
     near = found.where(f"kind = {PREFIX}").join(reps, "doc").withColumnRenamed("k1", "place").groupBy("token", "rep").agg(*(F.max(c).alias(c) for c in ("n", "need", "common", "place")))
     near = written(near)
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     middle = near.groupBy("token").agg(F.max(F.struct("common", (-F.col("rep")).alias("back"), F.col("n").alias("size"))).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", (-F.col("m.back")).alias("x"), F.col("m.size").alias("xn"))
     star = written(near.join(middle, "token").where((F.col("rep") != F.col("x")) & alike(F.col("n"), F.col("xn"))).select("x", F.col("rep").alias("y")).distinct())
-    links = verified(docs, star, size, percent)
+    links = verified(docs, sketch, star, size, percent)
     first = components(links).withColumnRenamed("node", "rep")
 
     marked = written(near.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
@@ -194,7 +247,7 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
         .agg(F.count(F.lit(1)).alias("shared"), F.max(must).alias("must")).where("shared >= must")
         .select("x", "y").join(tried, ["x", "y"], "left_anti")
     )
-    more = verified(docs, written(across), size, percent)
+    more = verified(docs, sketch, written(across), size, percent)
     label = first.withColumnRenamed("rep", "node")
     of = lambda c: more.select("x", "y").join(label.select(F.col("node").alias(c), F.col("label").alias(f"{c}l")), c, "left")
     joined = of("x").join(label.select(F.col("node").alias("y"), F.col("label").alias("yl")), "y", "left").select(F.coalesce("xl", "x").alias("x"), F.coalesce("yl", "y").alias("y"))

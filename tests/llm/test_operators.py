@@ -176,3 +176,18 @@ def test_pipeline(spark):
     want = seen.count()
     out = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
     assert out.count() == want > 0 and out.where("n_tokens * 4 <> length(ids)").count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    from tallyline.llm.jaccard_join import differing, sketches
+
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((1, 1, 0), (300, 250, 240), (3000, 2500, 2400), (5000, 4000, 10), (2, 2, 2)):
+        pool = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        a, b = pool[:n], pool[n - shared :]
+        s = sketches(np.concatenate((a, b)), np.repeat([0, 1], [n, m]), np.array([n, m])).to_pylist()
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert differing(*s) == differing(*s[::-1]) <= apart and (differing(*s) - apart) % 2 == 0
+    assert sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(2, np.int64)).to_pylist() == [bytes(32)] * 2
