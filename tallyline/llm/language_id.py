@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
+from tallyline.llm.tables import written
 
 #: A longer run of letters is scored as several of this length.
 WIDTH, PIECE = 48, 16
@@ -179,11 +180,33 @@ def lattice_of(path: str) -> Lattice:
     return _LATTICES[path]
 
 
-def train(labelled: DataFrame, path: str, documents_each: int = 300, words_each: int = 6_000) -> Model:
-    """Fits on text and lang of ``labelled``: about ``documents_each`` documents of each language, chosen by a hash of
-    their text, and of these the ``words_each`` most frequent words. Rows with null lang or text are left out."""
+def sample(labelled: DataFrame, documents_each: int) -> DataFrame:
+    """lang, text: ``documents_each`` different texts of each language, the first by a hash of the text, or all of a language
+    that has fewer. Rows with null lang or text are left out."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = {r.lang: documents_each / r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    h, digest = F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("digest")
+    different = written(rows.select("lang", h, digest).distinct())
+    # Ranges of hashes are counted first, so that only the texts up to the range that fills the sample are put in order.
+    part = F.shiftright("h", 52).cast("int")
+    last, full = {}, {}
+    for r in sorted(different.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if full.get(r.lang, 0) < documents_each:
+            full[r.lang], last[r.lang] = full.get(r.lang, 0) + r.n, r.part
+    if not last:
+        return rows.limit(0)
+    ends = different.sparkSession.createDataFrame(sorted(last.items()), "lang string, last int")
+    order = Window.partitionBy("lang").orderBy("h", "digest")
+    early = different.join(F.broadcast(ends), "lang").where(part <= F.col("last"))
+    chosen = written(early.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents_each).select("lang", "h", "digest"))
+    some = rows.withColumn("h", h).join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").withColumn("digest", digest)
+    return some.join(F.broadcast(chosen.select("lang", "digest")), ["lang", "digest"], "left_semi").dropDuplicates(["lang", "digest"]).select("lang", "text")
+
+
+def train(labelled: DataFrame, path: str, documents_each: int = 300, words_each: int = 6_000) -> Model:
+    """Fits on text and lang of ``labelled``: ``documents_each`` different texts of each language (see ``sample``), and of
+    these the ``words_each`` most frequent words. Copies of a text count once. Rows with null lang or text are left out."""
+    rows = written(sample(labelled, documents_each))
+    langs = [r.lang for r in rows.select("lang").distinct().collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,10 +216,9 @@ def train(labelled: DataFrame, path: str, documents_each: int = 300, words_each:
             yield pd.DataFrame([(k, w, n) for k, c in seen.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     counts: dict[str, dict[str, int]] = {}
-    unit = (F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-    for lang, part in share.items():
+    for lang in langs:
         got = (
-            rows.where((F.col("lang") == lang) & (unit < part)).mapInPandas(count, "lang string, word string, n long")
+            rows.where(F.col("lang") == lang).mapInPandas(count, "lang string, word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words_each)
         )
         if found := {r.word: r.n for r in got.collect()}:
