@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.vectors import best, met, packed, usable
+from tallyline.llm.vectors import best, met, one_each, packed, usable
 
 BITS = 64
 
@@ -64,7 +64,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = 16, enough:
     is_query: condition on vec_id. Candidates: every row whose vec_id is not the query's, in blocks of ``block_rows``;
     in each, a query looks at the vectors under prefixes that hold at least ``enough`` strings over all trees. Ties go to
     the smaller vec_id. Vectors that are null, zero, or hold a null or non-finite component take no part; vectors of
-    different lengths do not meet. Rows that repeat a vec_id each count. An empty table gives an empty result.
+    different lengths do not meet. Rows that repeat a vec_id each count as a
+    candidate; a query that repeats its vec_id asks with the smallest of its vectors. An empty table gives an empty result.
     """
     v = usable(vectors, zero=False)
 
@@ -78,6 +79,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = 16, enough:
             out.append((np.full(len(b), i), ci[at[b]], d[b]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    found = met(packed(v.where(is_query).dropDuplicates(["vec_id"]), query_rows), packed(v, block_rows), search, "query_id long, vec_id long, score double")
+    found = met(packed(one_each(v.where(is_query)), query_rows), packed(v, block_rows), search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.vectors import best, met, packed, usable
+from tallyline.llm.vectors import best, met, one_each, packed, usable
 
 SEGMENTS = 4
 
@@ -33,11 +33,12 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, q
     is_query: condition on vec_id. Candidates: every row whose vec_id is not the query's. Ties go to the smaller vec_id;
     fewer than k rows if there are fewer candidates. Vectors that are null or hold a null or non-finite component take no
     part; vectors of different lengths do not meet. Rows with the same vec_id and vector each count as a
-    candidate. An empty table gives an empty result.
+    candidate; a query that repeats its vec_id asks with the smallest of its vectors. An empty table gives an empty result.
     """
     v = usable(vectors, zero=True)
     candidates = packed(v, block_rows)
-    queries = packed(v.where(is_query).dropDuplicates(["vec_id"]), query_rows)
+    asked = one_each(v.where(is_query))
+    queries = packed(asked, query_rows)
 
     def gather(qi, q, ci, c):
         total = sum(partials(q, c, scale)).astype(float)
@@ -47,7 +48,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, q
         return qi[full], kth[full]
 
     cutoff = met(queries, candidates, gather, "query_id long, least double").groupBy("query_id").agg(F.max("least").alias("least"))
-    named = v.where(is_query).dropDuplicates(["vec_id"]).join(cutoff, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", F.concat(F.array(F.coalesce("least", F.lit(float("-inf")))), "embedding").alias("embedding"))
+    named = asked.join(cutoff, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", F.concat(F.array(F.coalesce("least", F.lit(float("-inf")))), "embedding").alias("embedding"))
     told = packed(named, query_rows).withColumn("dim", F.col("dim") - 1)
 
     def resolve(qi, q, ci, c):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.tables import written
+
 BLOCK = "dim int, block long, ids binary, data binary"
 SLOTS = 16
 
@@ -26,6 +28,11 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return v if zero else v.where(F.exists("embedding", lambda x: x != 0))
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding: of rows that share a vec_id the smallest embedding (compared from the first component on, then by length), written once."""
+    return written(vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+
+
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
     """Blocks of at most ``rows`` vectors of one dimension."""
 
