@@ -19,14 +19,47 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.tables import of_worker
+
 NONE = np.int64(1) << 62
-PLACE = 24
+#: Bits of a leaf that say where its pair is; a word of 2**40 bytes fits in no machine.
+PLACE = 40
 #: Words whose ids are kept at most, in each worker; beyond it they are forgotten and encoded anew.
-WORDS = 250_000
+WORDS = 150_000
 #: White space as the file's patterns mean it.
 BLANK = r"[\t-\r \x85\xa0  -     　]"
 
 
+#: Upper-case letters newer than Unicode 15.1, which Python 3.13 has, that the library changes to lower case, as first, last and distance.
+NEWER_UPPER = (
+    (0x1C89, 0x1C89, 1),
+    (0xA7CB, 0xA7CB, -42343),
+    (0xA7CC, 0xA7CC, 1),
+    (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, -42561),
+    (0x10D50, 0x10D65, 32),
+    (0x16EA0, 0x16EB8, 27),
+)
+
+
+#: Letters and numbers newer than Unicode 16, first and last. The library's patterns are of that version
+#: and take them for other characters.
+NEWER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +86,15 @@ class Encoder:
         self.special = added
         names = {i: t for t, i in (vocab | added).items()}
         self.name = [names.get(i, "").encode() for i in range(max(names) + 1)]
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", "[^" + BLANK[1:-1])).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", "[^" + BLANK[1:-1])
+        self.find = regex.compile(pattern).findall
+        self.lower_newer = {c: c + by for first, last, by in NEWER_UPPER for c in range(first, last + 1)}
+        newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_LETTERS)
+        self.has_newer = regex.compile(f"[{newer}{''.join(map(chr, self.lower_newer))}]").search
+        # The same pattern with letters and numbers cut to those of Unicode 16.
+        others = pattern[pattern.index("[^") :]
+        narrow = pattern.replace(others, f"(?:{others[:-1]}|[{newer}])+").replace(r"|[\p{L}]", rf"|[\p{{L}}--[{newer}]]").replace(r"|[\p{N}]", rf"|[\p{{N}}--[{newer}]]")
+        self.find_narrow = regex.compile(narrow, regex.V1).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split if added else lambda t: [t]
         self.blanks = regex.compile(BLANK + "+").sub
         self.forget()
@@ -72,7 +113,10 @@ class Encoder:
                 out.append(part)
             elif part:
                 part = self.blanks(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                out += self.find(part)
+                if part.isascii() or not self.has_newer(part):
+                    out += self.find(part)
+                else:
+                    out += self.find_narrow(part.translate(self.lower_newer))
         return out
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,13 +218,8 @@ class _Numbered(dict):
         return n
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return of_worker("encoder", path, lambda: Encoder(path))
 
 
 def bpe(documents: DataFrame, path: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary, fitted by expectation maximisation. The
 score of a word is the sum over all its segmentations into pieces (forward algorithm), of a text the product over its
-words; the posterior over languages gives the prediction. Words of a batch are worked on together in numpy: one
-column of letters at a time, for all languages at once.
+words; the posterior over languages gives the prediction. A word is a whole run of letters, however long. Words of a
+batch are worked on together in numpy: one column of letters at a time, for all languages at once.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import written
+from tallyline.llm.tables import of_worker, written
 
-#: A longer run of letters is scored as several of this length.
-WIDTH, PIECE = 48, 16
+#: Letters of a batch of words (a longer word is a batch of its own), and columns after which sums are brought near 1.
+LETTERS, RENEW = 1 << 16, 16
 #: Scale per letter, equal for all languages, that keeps products of probabilities near 1.
 SCALE = 40.0
 #: Probability of a single letter that no piece covers, and of each piece beside its counts.
 UNKNOWN, EXTRA = 1e-7, 0.02
-WORDS = 300_000
+#: Words whose scores a worker keeps at most; beyond it they are forgotten and worked out anew.
+WORDS = 100_000
 _LETTERS = regex.compile(r"\p{L}+").findall
 
 
@@ -37,16 +38,12 @@ def pieces(path: str) -> list[str]:
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [p.id_to_piece(i) for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)) and len(p.id_to_piece(i)) <= PIECE]
+    return [p.id_to_piece(i) for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case, each with the mark of a word's start; long runs in parts."""
-    out = []
-    for w in _LETTERS((text or "").lower()):
-        w = "▁" + w
-        out += [w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w), WIDTH)]
-    return out
+    """Runs of letters in lower case, each with the mark of a word's start."""
+    return ["▁" + w for w in _LETTERS((text or "").lower())]
 
 
 class Lattice:
@@ -54,6 +51,7 @@ class Lattice:
 
     def __init__(self, vocabulary: list[str]):
         self.size = len(vocabulary)
+        self.most = max(map(len, vocabulary))
         key = np.array([self._key(p) for p in vocabulary], np.uint64)
         self.order = np.argsort(key)
         self.key = key[self.order]
@@ -84,9 +82,9 @@ class Lattice:
         lengths = np.array([len(w) for w in batch])
         width = int(lengths.max())
         codes = self._codes(batch, width)
-        ids = np.full((min(PIECE, width), len(batch), width), self.size, np.int32)
+        ids = np.full((min(self.most, width), len(batch), width), self.size, np.int32)
         h = np.ones_like(codes)
-        for n in range(1, min(PIECE, width) + 1):
+        for n in range(1, min(self.most, width) + 1):
             w = width - n + 1
             h = self._longer(h, codes, n)
             at = np.minimum(np.searchsorted(self.key, h), self.size - 1)
@@ -95,65 +93,90 @@ class Lattice:
         return lengths, ids
 
 
-def forward(ids: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]: summed probability of all segmentations of the first ``end`` letters."""
+def batches_of(batch: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of like length, about LETTERS letters at a time."""
+    size = np.array([len(w) for w in batch])
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, LETTERS // int(size[order[min(len(order) - 1, at + LETTERS // int(size[order[at]]))]]))
+        yield order[at : at + n]
+        at += n
+
+
+def sums(ids: np.ndarray, prob: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """total[word, place, language] and offset: total * exp(offset) is the summed probability of all segmentations of the
+    letters before a place. Backward, ids are of reversed words: ids[n - 1, word, end] is the piece of n letters that begins there
+    in reading direction and lies before that place.
+
+    Every RENEW places the last ones are divided by their largest, so that words of any length keep their sums.
+    """
     most, n, width = ids.shape
-    alpha = np.zeros((n, width + 1, prob.shape[1]))
-    alpha[:, 0] = 1
+    total = np.zeros((n, width + 1, prob.shape[1]))
+    offset = np.zeros_like(total)
+    total[:, 0] = 1
     scale = SCALE ** np.arange(most + 1)
     for end in range(1, width + 1):
-        total = alpha[:, end - 1] * (UNKNOWN * SCALE) * (ids[0, :, end - 1] == len(prob) - 1)[:, None]
+        new = total[:, end - 1] * (UNKNOWN * SCALE) * (ids[0, :, end - 1] == len(prob) - 1)[:, None]
         for k in range(1, min(most, end) + 1):
             i = ids[k - 1, :, end - k]
             has = np.flatnonzero(i < len(prob) - 1)
             if len(has):
-                total[has] += alpha[has, end - k] * (prob[i[has]] * scale[k])
-        alpha[:, end] = total
-    return alpha
+                new[has] += total[has, end - k] * (prob[i[has]] * scale[k])
+        total[:, end] = new
+        offset[:, end] = offset[:, end - 1]
+        if end % RENEW == 0:
+            late = slice(max(0, end - most + 1), end + 1)
+            by = np.maximum(total[:, late].max(axis=1), 1e-300)
+            total[:, late] /= by[:, None]
+            offset[:, late] = (offset[:, end] + np.log(by))[:, None]
+    return total, offset
 
 
 def likelihoods(lattice: Lattice, batch: list[str], prob: np.ndarray) -> np.ndarray:
     """Log of the marginal probability of each word in each language (up to a term equal for all languages)."""
     out = np.empty((len(batch), prob.shape[1]))
-    by_size = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for a in range(0, len(batch), 8192):
-        part = by_size[a : a + 8192]
+    for part in batches_of(batch):
         lengths, ids = lattice.arcs([batch[i] for i in part])
-        out[part] = np.log(np.maximum(forward(ids, lengths, prob)[np.arange(len(part)), lengths], 1e-300))
+        total, offset = sums(ids, prob)
+        end = np.arange(len(part)), lengths
+        out[part] = np.log(np.maximum(total[end], 1e-300)) + offset[end]
     return out
 
 
-def fit(lattice: Lattice, counts: dict[str, dict[str, int]], rounds: int = 2) -> tuple[list[str], np.ndarray]:
-    """Languages and prob[piece, language] by expectation maximisation over weighted words; the last row is zero."""
-    langs = sorted(counts)
-    prob = np.zeros((lattice.size + 1, len(langs)))
-    for j, lang in enumerate(langs):
-        batch = sorted(counts[lang], key=lambda w: (len(w), w))
-        p = np.full((lattice.size + 1, 1), 1 / lattice.size)
-        for _ in range(rounds):
-            p[-1] = 0
-            expected = np.full(lattice.size + 1, EXTRA)
-            for a in range(0, len(batch), 4096):
-                part = batch[a : a + 4096]
-                weight = np.array([counts[lang][w] for w in part], float)
-                lengths, ids = lattice.arcs(part)
-                alpha = forward(ids, lengths, p)[..., 0]
-                beta = np.zeros_like(alpha)
-                beta[np.arange(len(part)), lengths] = 1
-                for start in range(ids.shape[2] - 1, -1, -1):
-                    total = beta[:, start] + beta[:, start + 1] * (UNKNOWN * SCALE) * (ids[0, :, start] == lattice.size)
-                    for k in range(1, min(ids.shape[0], ids.shape[2] - start) + 1):
-                        total += beta[:, start + k] * p[ids[k - 1, :, start], 0] * SCALE**k
-                    beta[:, start] = total
-                z = np.maximum(alpha[np.arange(len(part)), lengths], 1e-300)
-                for k in range(1, ids.shape[0] + 1):
-                    w = ids.shape[2] - k + 1
-                    share = alpha[:, :w] * p[ids[k - 1, :, :w], 0] * SCALE**k * beta[:, k : k + w] * (weight / z)[:, None]
-                    expected += np.bincount(ids[k - 1, :, :w].ravel(), share.ravel(), lattice.size + 1)
-            expected[-1] = 0
-            p = (expected / expected.sum())[:, None]
-        prob[:-1, j] = p[:-1, 0]
-    return langs, prob
+def fit(lattice: Lattice, counts: dict[str, int], rounds: int = 2) -> np.ndarray:
+    """Probability of each piece by expectation maximisation over weighted words."""
+    batch = sorted(counts, key=lambda w: (len(w), w))
+    p = np.full((lattice.size + 1, 1), 1 / lattice.size)
+    for _ in range(rounds):
+        p[-1] = 0
+        expected = np.full(lattice.size + 1, EXTRA)
+        for part in batches_of(batch):
+            weight = np.array([counts[batch[i]] for i in part], float)
+            lengths, ids = lattice.arcs([batch[i] for i in part])
+            ahead, a = (x[..., 0] for x in sums(ids, p))
+            # Words reversed, flush with their ends: a piece of k letters from ``start`` is met from the place after it.
+            most, n, width = ids.shape
+            back = np.full_like(ids, lattice.size)
+            for k in range(1, most + 1):
+                place = lengths[:, None] - k - np.arange(width)
+                inside = place >= 0
+                back[k - 1] = np.where(inside, np.take_along_axis(ids[k - 1], np.maximum(place, 0), axis=1), lattice.size)
+            behind, b = (x[..., 0] for x in sums(back, p))
+            end = np.arange(n), lengths
+            whole = np.log(np.maximum(ahead[end], 1e-300)) + a[end]
+            for k in range(1, most + 1):
+                start = np.arange(width - k + 1)
+                rest = lengths[:, None] - k - start
+                inside = rest >= 0
+                rest = np.maximum(rest, 0)
+                i = ids[k - 1][:, start]
+                log = a[:, start] + np.take_along_axis(b, rest, axis=1) - whole[:, None]
+                share = ahead[:, start] * np.take_along_axis(behind, rest, axis=1) * np.exp(np.where(inside, log, -np.inf)) * p[i, 0] * SCALE**k * weight[:, None]
+                expected += np.bincount(i.ravel(), share.ravel(), lattice.size + 1)
+        expected[-1] = 0
+        p = (expected / expected.sum())[:, None]
+    return p[:, 0]
 
 
 @dataclass
@@ -169,15 +192,8 @@ class Model:
         return self.path, tuple(self.langs), hash(self.prob.tobytes())
 
 
-_LATTICES: dict[str, Lattice] = {}
-#: Scores of words that this worker has met, for the model it last used.
-_KNOWN: dict = {"model": None, "at": {}, "table": None}
-
-
 def lattice_of(path: str) -> Lattice:
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(pieces(path))
-    return _LATTICES[path]
+    return of_worker("lattice", path, lambda: Lattice(pieces(path)))
 
 
 def sample(labelled: DataFrame, documents_each: int) -> DataFrame:
@@ -202,28 +218,21 @@ def sample(labelled: DataFrame, documents_each: int) -> DataFrame:
     return some.join(F.broadcast(chosen.select("lang", "digest")), ["lang", "digest"], "left_semi").dropDuplicates(["lang", "digest"]).select("lang", "text")
 
 
-def train(labelled: DataFrame, path: str, documents_each: int = 300, words_each: int = 6_000) -> Model:
-    """Fits on text and lang of ``labelled``: ``documents_each`` different texts of each language (see ``sample``), and of
-    these the ``words_each`` most frequent words. Copies of a text count once. Rows with null lang or text are left out."""
-    rows = written(sample(labelled, documents_each))
-    langs = [r.lang for r in rows.select("lang").distinct().collect()]
+def train(labelled: DataFrame, path: str, documents_each: int = 300) -> Model:
+    """Fits on text and lang of ``labelled``: ``documents_each`` different texts of each language (see ``sample``), all
+    their words. Copies of a text count once. Rows with null lang or text are left out; a language without letters in its
+    sample is not learned. A language's sample is fitted in one task, languages beside each other.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: dict[str, Counter] = {}
-            for lang, text in zip(b["lang"].tolist(), b["text"].tolist(), strict=True):
-                seen.setdefault(lang, Counter()).update(words(text))
-            yield pd.DataFrame([(k, w, n) for k, c in seen.items() for w, n in c.items()], columns=["lang", "word", "n"])
-
-    counts: dict[str, dict[str, int]] = {}
-    for lang in langs:
-        got = (
-            rows.where(F.col("lang") == lang).mapInPandas(count, "lang string, word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words_each)
-        )
-        if found := {r.word: r.n for r in got.collect()}:
-            counts[lang] = found
-    return Model(path, *fit(lattice_of(path), counts))
+    def learn(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+        counts = Counter(w for t in texts["text"] for w in words(t))
+        rows = [(key[0], fit(lattice_of(path), counts).astype("<f8").tobytes())] if counts else []
+        return pd.DataFrame(rows, columns=["lang", "prob"], dtype=object)
+
+    fitted = written(sample(labelled, documents_each).groupBy("lang").applyInPandas(learn, "lang string, prob binary"))
+    rows = sorted((r.lang, bytes(r.prob)) for r in fitted.collect())  # a row of vocabulary size for each language
+    none = np.zeros((0, 0))
+    return Model(path, [lang for lang, _ in rows], np.stack([np.frombuffer(p, "<f8") for _, p in rows], axis=1) if rows else none)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
@@ -233,17 +242,16 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     Equal scores: the language that sorts first. Whole texts count; rows are independent, so repeated rows and other
     columns stay as they are. An empty table gives an empty result.
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "lang_score")]
+    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "lang_score")]
     docs = documents.select(kept).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, lang_score double"
-    held = documents.sparkSession.sparkContext.broadcast(model)  # vocabulary size x languages
+    held = documents.sparkSession.sparkContext.broadcast(model)  # vocabulary size x languages: 8 bytes each
 
     def run(batches):
         m = held.value
         lattice = lattice_of(m.path)
-        if _KNOWN["model"] != (name := m.name):
-            _KNOWN.update(model=name, at={}, table=np.zeros((0, len(m.langs))))
-        known, table = _KNOWN["at"], _KNOWN["table"]
+        scores_of = of_worker("word scores", m.name, lambda: {"at": {}, "table": np.zeros((0, len(m.langs)))}, keep="lattice")
+        known, table = scores_of["at"], scores_of["table"]
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             langs, scores = [], []
@@ -254,7 +262,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                     table = table[:0]
                 if m.langs and (new := list({w for d in docs for w in d} - known.keys())):
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    table = _KNOWN["table"] = np.concatenate((table, likelihoods(lattice, new, m.prob)))
+                    table = scores_of["table"] = np.concatenate((table, likelihoods(lattice, new, m.prob)))
                 for d in docs:
                     if not d or not m.langs:
                         langs.append("und")

@@ -26,8 +26,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Vocabulary files every machine has.
-TOKENIZERS = "/opt/tokenizers"
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which every machine has."""
+    from public_tokenizers import path
+
+    return path(name)
 
 
 def held_out():
@@ -91,14 +94,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyline.llm.language_id import identify, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()).select("text", "lang"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    model = train(docs.where(~held_out()).select("text", "lang"), vocabulary("piece_bpe_32k.model"))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyline.llm.bpe import bpe
 
-    out = bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    out = bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
@@ -148,7 +151,7 @@ FROM p LEFT JOIN v ON p.host = v.host AND p.fetched_at = v.fetched_at
 """,
     "op5_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), g AS (SELECT doc_id AS gid, max(quality) AS grade FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source
@@ -163,7 +166,7 @@ WITH d AS (
 ), t AS (SELECT *, least(cap, coalesce(level, 0.0::DOUBLE) * weight) AS target FROM l
 ), k AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.number,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.text, '') || ':mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / CASE g.grade WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON d.doc_id = g.gid
 ), a AS (

@@ -1,7 +1,7 @@
 """The training sample when texts have many copies."""
 
 from tallyline.llm.language_id import sample, train
-from tallyline.llm.queries import TOKENIZERS
+from tallyline.llm.queries import vocabulary
 
 
 def test_copies_do_not_crowd_out_texts(spark):
@@ -15,4 +15,4 @@ def test_copies_do_not_crowd_out_texts(spark):
     assert sorted(map(tuple, sample(df.repartition(5), 20).collect())) == sorted(got)
     assert sample(df.limit(0), 20).count() == 0
     one = spark.createDataFrame([("zz", "only one text")] * 50, "lang string, text string")
-    assert train(df.union(one), f"{TOKENIZERS}/piece_bpe_32k.model", documents_each=1).langs == ["aa", "bb", "zz"]
+    assert train(df.union(one), vocabulary("piece_bpe_32k.model"), documents_each=1).langs == ["aa", "bb", "zz"]

@@ -19,7 +19,7 @@ from tallyline.llm.mixing import mix, taken_text
 from tallyline.llm.topk import exact_topk
 from tallyline.llm.url_filter import url_filter
 
-TOK = queries.TOKENIZERS
+TOK = queries.vocabulary("").rstrip("/")
 SF = "/root/testdata/sf0.001"
 
 
