@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
 from tallyline.llm.repeats import blocks
-from tallyline.llm.tables import texts, written
+from tallyline.llm.tables import keyed, texts, written
 
 #: Shingles whose frequency is known to all tasks at most (9 bytes each), and documents a reference set is sent along with.
 FREQUENT, TOGETHER = 1 << 17, 64
@@ -90,7 +90,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches):
-        for _, raw in blocks(batches, ["doc_id", "text"]):
+        for _, raw in blocks(batches, ["doc", "text"]):
             g, _, _ = shingles(raw, size)
             token, n = np.unique(g, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
@@ -102,12 +102,16 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of kind PREFIX (token, doc, n, need, common, k1: place in the order) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash, sketch)."""
+    """Rows of kind PREFIX (token, doc, n, need, common, k1: place in the order) for tokens that several rows have, and of kind MEMBER (doc, n, k1, k2: the set's hash, sketch).
+
+    Tokens among the frequent ones (k2 is 1) are known to be in several rows. Only the others are dealt out by token and
+    counted, so no hot token is gathered in a task.
+    """
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))  # at most FREQUENT entries
 
     def run(batches):
         token, level = held.value
-        for ids, raw in blocks(batches, ["doc_id", "text"]):
+        for ids, raw in blocks(batches, ["doc", "text"]):
             keep = [i for i, x in enumerate(ids) if x is not None]
             ids, raw = np.array([ids[i] for i in keep], np.int64), [raw[i] for i in keep]
             if not raw:
@@ -136,10 +140,14 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             inside = np.flatnonzero(place < (base + need - 1)[d])
             common = 1000 * np.bincount(d, lev > 0, len(raw)) // np.maximum(n, 1)
             w = d[inside]
-            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], place[inside], np.zeros(len(w)), pa.nulls(len(w), pa.binary()))
+            yield row(g[inside], PREFIX, ids[w], n[w], need[w], common[w], place[inside], lev[inside] > 0, pa.nulls(len(w), pa.binary()))
 
-    rows = docs.mapInArrow(run, "token long, kind byte, doc long, n int, need int, common int, k1 long, k2 long, sketch binary").repartition("token")
-    return written(rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(f"kind = {MEMBER} OR rows > 1").drop("rows"))
+    rows = docs.mapInArrow(run, "token long, kind byte, doc long, n int, need int, common int, k1 long, k2 long, sketch binary")
+    told = F.expr(f"kind = {MEMBER} OR k2 = 1")
+    # Rows that need no count keep a random key, so that one exchange serves both.
+    rows = rows.withColumn("dealt", F.when(told, F.xxhash64("doc", "token")).otherwise(F.col("token"))).repartition("dealt")
+    alike = Window.partitionBy("dealt", "token", "kind", "k2")
+    return written(rows.withColumn("rows", F.count(F.lit(1)).over(alike)).where(told | (F.col("rows") > 1)).drop("rows", "dealt"))
 
 
 def dealt(pairs: DataFrame) -> DataFrame:
@@ -156,7 +164,7 @@ def possible(sketch: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     both = parts.join(own, ["x", "part"]).join(of("y"), "y").select("x", "y", "xn", "yn", "xs", "ys")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 1024) for b in batches for a in range(0, b.num_rows, 1024)):
             x, y, xn, yn, xs, ys = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(x)):
@@ -170,12 +178,12 @@ def possible(sketch: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets link. x's text goes to all its y, in parts of about TOGETHER."""
     parts = dealt(possible(sketch, pairs, percent))
-    asked = written(parts.select(F.col("y").alias("doc_id"), "x", "part", F.lit(1).alias("role")).union(parts.select(F.col("x").alias("doc_id"), "x", "part", F.lit(0).alias("role")).distinct()))
-    sent = docs.join(asked, "doc_id").select("x", "part", "role", "doc_id", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role", "doc_id")
+    asked = written(parts.select(F.col("y").alias("doc"), "x", "part", F.lit(1).alias("role")).union(parts.select(F.col("x").alias("doc"), "x", "part", F.lit(0).alias("role")).distinct()))
+    sent = docs.join(asked, "doc").select("x", "part", "role", "doc", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role", "doc")
 
     def run(batches):
         now, own = None, None
-        for x, text, part, role, doc in blocks(batches, ["x", "text", "part", "role", "doc_id"]):
+        for x, text, part, role, doc in blocks(batches, ["x", "text", "part", "role", "doc"]):
             g, _, n = shingles(text, size)
             sets = np.split(g, np.cumsum(n)[:-1])
             out = []
@@ -206,21 +214,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of documents: doc_id, n_shingles, class_id, component_id.
-
-    Texts are lower-cased (A-Z); words are runs of bytes other than blank, tab, LF, VT, FF, CR; a document's set has its
-    distinct shingles of ``size`` words, or its whole sequence as one if it has fewer. Documents link when 100 *
-    intersection >= percent * union. class_id: smallest doc_id with an equal set; component_id: smallest doc_id
-    reachable by links.
-
-    Null, empty or blank texts have an empty set, link with nothing and are their own component. A null doc_id gets
-    nulls. Rows with one doc_id and text are one document and all get its result. An empty table gives an empty result.
-    """
-    docs = texts(documents)
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc, n_shingles, class_id and component_id (keys of documents) for each document (doc, text)."""
     found = prefixes(docs, size, percent)
     member = found.where(f"kind = {MEMBER}").select("doc", "n", "k1", "k2")
-    classes = member.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
+    # Written, so that the join reads plain tables and a class with very many members can be split among tasks.
+    classes = written(member.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     member = written(member.join(classes, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     sketch = written(found.where(f"kind = {MEMBER}").select("doc", "n", "sketch").dropDuplicates(["doc"]))
     reps = member.select("doc", "rep").distinct()
@@ -252,9 +251,52 @@ def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> Data
     of = lambda c: more.select("x", "y").join(label.select(F.col("node").alias(c), F.col("label").alias(f"{c}l")), c, "left")
     joined = of("x").join(label.select(F.col("node").alias("y"), F.col("label").alias("yl")), "y", "left").select(F.coalesce("xl", "x").alias("x"), F.coalesce("yl", "y").alias("y"))
     second = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    out = (
+    return (
         member.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(second, "label", "left")
-        .select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("top", "label").alias("component_id"))
+        .select("doc", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("top", "label").alias("component_id"))
     )
-    unknown = docs.where("doc_id IS NULL").select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("n_shingles", "class_id", "component_id")))
+
+
+def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of documents: doc_id, n_shingles, class_id, component_id.
+
+    Texts are lower-cased (A-Z); words are runs of bytes other than blank, tab, LF, VT, FF, CR; a document's set has its
+    distinct shingles of ``size`` words, or its whole sequence as one if it has fewer. Documents link when 100 *
+    intersection >= percent * union. class_id: smallest doc_id with an equal set; component_id: smallest doc_id
+    reachable by links.
+
+    Null, empty or blank texts have an empty set, link with nothing and are their own component. A null doc_id gets
+    nulls. Rows with one doc_id and text are one document and all get its result; one doc_id with several texts is several
+    documents, each with a result of its own. Other columns are not read. An empty table gives an empty result.
+    """
+    docs, names = keyed(documents)
+    out = grouped(docs, size, percent)
+    results = ("n_shingles", "class_id", "component_id")
+    if names is None:
+        out = out.select(F.col("doc").alias("doc_id"), *results)
+    else:
+        for c in ("class_id", "component_id"):
+            out = out.join(names.select(F.col("doc").alias(c), F.col("doc_id").alias(f"of_{c}")), c).drop(c).withColumnRenamed(f"of_{c}", c)
+        out = out.join(names.select("doc", "doc_id"), "doc").select("doc_id", *results)
+    unknown = texts(documents).where("doc_id IS NULL").select("doc_id", *(F.lit(None).cast("long").alias(c) for c in results))
     return out.union(unknown)
+
+
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of documents that are the first of their group of near copies, once each; rows without a doc_id all stay.
+
+    The first is the smallest doc_id, of its several texts the one with the smallest digest. Rows that repeat doc_id and
+    text and differ in other columns: the first by these columns' values, nulls first.
+    """
+    docs, names = keyed(documents)
+    stay = written(grouped(docs, size, percent).where("component_id = doc").select("doc").distinct())
+    rows = documents.where("doc_id IS NOT NULL")
+    if names is None:
+        rows = rows.join(stay.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    else:
+        wanted = stay.join(names, "doc").select("doc_id", F.col("digest").alias("text_digest"))
+        rows = rows.withColumn("text_digest", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(wanted, ["doc_id", "text_digest"], "left_semi").drop("text_digest")
+    rest = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id").orderBy(*(rest or [F.lit(1)]))
+    rows = rows.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").drop("row_of_id")
+    return rows.select(*documents.columns).union(documents.where("doc_id IS NULL"))

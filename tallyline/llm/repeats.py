@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import texts, written
+from tallyline.llm.tables import keyed, others, schema_of, written
 
 ANCHOR, HOT, WINDOW, SPAN, FRAGMENT = range(5)
 ROW = "key long, kind byte, alike long, doc long, pos int, size int, frag binary"
 #: Most distinct fragments of one anchor that a block sends on by the anchor's key, and that one group compares.
 SPREAD, GROUP = 16, 4096
+#: An anchor's place in its fragment and the fragment's length share a number: place * SIZE + length.
+SIZE = 4096
 BLOCK_BYTES = 2 << 20
 
 
@@ -156,7 +158,7 @@ def level_one(ids: np.ndarray, raw: list[bytes | None], u: Units) -> Iterator[pa
     by_key = groups(key[reps])
     many = np.repeat(np.diff(by_key) > SPREAD, np.diff(by_key))
     few = reps[~many]
-    yield batch(key[few], ANCHOR, alike[few], did[few], at[few], ((at - (lo - first[doc])) * 4096 + hi - lo)[few])
+    yield batch(key[few], ANCHOR, alike[few], did[few], at[few], ((at - (lo - first[doc])) * SIZE + hi - lo)[few])
     if many.any():
         hot = reps[many]
         one = hot[groups(key[hot])[:-1]]
@@ -199,7 +201,7 @@ def known(ids: list, raw: list) -> tuple[np.ndarray, list]:
 
 def mapper(u: Units) -> Callable:
     def run(batches):
-        for ids, raw in blocks(batches, ["doc_id", "text"]):
+        for ids, raw in blocks(batches, ["doc", "text"]):
             yield from level_one(*known(ids, raw), u)
 
     return run
@@ -209,12 +211,12 @@ def fetcher(u: Units) -> Callable:
     """Fragments' texts, or their windows' keys, for the anchors asked of each document."""
 
     def run(batches):
-        for ids, raw, wanted in blocks(batches, ["doc_id", "text", "wanted"], BLOCK_BYTES // 2):
+        for ids, raw, wanted in blocks(batches, ["doc", "text", "wanted"], BLOCK_BYTES // 2):
             values, first, last, (buf, a, b) = u.of(raw)
             doc, key, at, size, apart = (np.array(x) for x in zip(*[(i, w["key"], w["pos"], w["size"], w["apart"]) for i, ws in enumerate(wanted) for w in ws], strict=True))
             ids = np.array(ids, np.int64)
-            lo = at - size // 4096 + first[doc]
-            hi = np.minimum(lo + size % 4096, last[doc])
+            lo = at - size // SIZE + first[doc]
+            hi = np.minimum(lo + size % SIZE, last[doc])
             if (s := np.flatnonzero(apart)).size:
                 start, which = ranges(lo[s], hi[s] - u.length + 1)
                 start, keep = np.unique(start, return_index=True)
@@ -224,7 +226,7 @@ def fetcher(u: Units) -> Callable:
             if (s := np.flatnonzero(~apart & (hi > lo))).size:
                 x, y = (a[lo[s]], b[hi[s] - 1]) if u.words else (lo[s], hi[s])
                 frag = [buf[i:j].tobytes() for i, j in zip(x, y, strict=True)]
-                yield batch(key[s].astype(np.int64).view(np.uint64), FRAGMENT, (size // 4096)[s], ids[doc[s]], lo[s] - first[doc[s]], (hi - lo)[s], frag)
+                yield batch(key[s].astype(np.int64).view(np.uint64), FRAGMENT, (size // SIZE)[s], ids[doc[s]], lo[s] - first[doc[s]], (hi - lo)[s], frag)
 
     return run
 
@@ -269,9 +271,10 @@ def settler(u: Units, compare: Callable) -> Callable:
     return run
 
 
-def repeated_spans(documents: DataFrame, u: Units, compare: Callable) -> DataFrame:
-    """doc_id, spans array<struct<lo int, hi int>>: for each document with any, the units that go (spans may overlap)."""
-    docs = texts(documents)
+def repeated_spans(docs: DataFrame, u: Units, compare: Callable) -> DataFrame:
+    """doc, spans array<struct<lo int, hi int>>: for each document (doc, text) with any, the units that go (spans may overlap)."""
+    if 2 * u.length - u.gram >= SIZE:
+        raise ValueError(f"a fragment of 2 * length - gram units must have less than {SIZE}")
     by_key = Window.partitionBy("key")
     rows = docs.mapInArrow(mapper(u), ROW).repartition("key").withColumn("n", F.count(F.lit(1)).over(by_key))
     kept = written(rows.where("n > 1 OR kind >= 2").drop("n"))
@@ -284,37 +287,45 @@ def repeated_spans(documents: DataFrame, u: Units, compare: Callable) -> DataFra
         .where(f"kind = {ANCHOR}")
     )
     goes = (place != F.col("first")) if u.first_stays else (F.col("first") != F.col("last"))
-    lo = F.col("pos") - F.floor(F.col("size") / 4096).cast("int")
-    equal = told.where(goes).select(F.col("doc"), lo.alias("lo"), (lo + F.col("size") % 4096).alias("hi"))
+    lo = F.col("pos") - F.floor(F.col("size") / SIZE).cast("int")
+    equal = told.where(goes).select(F.col("doc"), lo.alias("lo"), (lo + F.col("size") % SIZE).alias("hi"))
     apart = (F.col("hot") == HOT) | (F.col("reps") > GROUP)
     wanted = (
         told.where((place == F.col("first")) & (apart | (F.col("least") != F.col("most"))))
-        .groupBy(F.col("doc").alias("doc_id"))
+        .groupBy("doc")
         .agg(F.collect_list(F.struct("key", "pos", "size", apart.alias("apart"))).alias("wanted"))
     )
-    fetched = docs.join(wanted, "doc_id").mapInArrow(fetcher(u), ROW)
+    fetched = docs.join(wanted, "doc").mapInArrow(fetcher(u), ROW)
     settled = (
         fetched.union(kept.where(f"kind = {WINDOW}"))
         .repartition("key").sortWithinPartitions("key")
         .mapInArrow(settler(u, compare), ROW)
     )
     at_once = settled.union(kept.where(f"kind = {SPAN}")).select("doc", F.col("pos").alias("lo"), (F.col("pos") + F.col("size")).alias("hi"))
-    return at_once.union(equal).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return at_once.union(equal).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def removed(documents: DataFrame, spans_of: DataFrame, u: Units) -> DataFrame:
+def removed(documents: DataFrame, u: Units, compare: Callable) -> DataFrame:
     """documents with n_units, n_removed, removed_spans (merged, in units) and kept (binary)."""
-    docs = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    own = [c for c in docs.columns if c != "spans"]
-    joined = docs.select(own).join(spans_of, "doc_id", "left").select(*own, "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("spans").schema.fields) + ", n_units long, n_removed long, removed_spans array<struct<lo:int,hi:int>>, kept binary"
+    docs, names = keyed(documents)
+    spans_of = repeated_spans(docs, u, compare)
+    own = others(documents, "n_units", "n_removed", "removed_spans", "kept")
+    rows = documents.select(*[F.col("doc_id").cast("long").alias(c) if c.lower() == "doc_id" else F.col(f"`{c}`") for c in own])
+    schema = schema_of(rows, own) + ", n_units long, n_removed long, removed_spans array<struct<lo:int,hi:int>>, kept binary"
+    key, text = F.col("doc_id"), F.col("text").cast("string")
+    here = rows.select(F.struct(*[f"`{c}`" for c in own]).alias("row"), key.alias("id"), text.alias("body"))
+    if names is None:
+        joined = here.join(spans_of.select(F.col("doc").alias("id"), "spans"), "id", "left")
+    else:
+        named = names.join(spans_of, "doc").select(F.col("doc_id").alias("id"), "digest", "spans")
+        joined = here.withColumn("digest", F.xxhash64(F.coalesce("body", F.lit("")))).join(named, ["id", "digest"], "left")
+    joined = joined.select("row", "body", "spans")
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches):
         for b in batches:
             n, gone, left, runs = [], [], [], []
-            raw = b.column(b.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-            for t, s in zip(raw, b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            for t, s in zip(b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 t = t or b""
                 buf = np.frombuffer(t, np.uint8)
                 x, y = T.words_of(buf) if u.words else (None, None)
@@ -328,9 +339,6 @@ def removed(documents: DataFrame, spans_of: DataFrame, u: Units) -> DataFrame:
                 gone.append(int((hi - lo).sum()))
                 runs.append([{"lo": int(p), "hi": int(q)} for p, q in zip(lo, hi, strict=True)])
                 left.append(b" ".join([t[p:q] for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True)]) if u.words else t if len(lo) == 0 else buf[keep].tobytes())
-            i = b.schema.get_field_index("spans")
-            cols = [b.column(j) for j in range(b.num_columns) if j != i]
-            names = [f.name for j, f in enumerate(b.schema) if j != i]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(left, pa.binary())], names=[*names, "n_units", "n_removed", "removed_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(left, pa.binary())], names=[*own, "n_units", "n_removed", "removed_spans", "kept"])
 
     return joined.mapInArrow(run, schema)

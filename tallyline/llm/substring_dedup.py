@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tallyline.llm import textops as T
-from tallyline.llm.repeats import Units, groups, removed, repeated, repeated_spans
+from tallyline.llm.repeats import Units, groups, removed, repeated
 
 
 def extend(key: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray, frags: list[bytes], u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +46,15 @@ def substring_dedup(documents: DataFrame, length: int = 35, gram: int = 12) -> D
     """Removes every word covered by a window of ``length`` words that also starts anywhere else.
 
     Words are maximal runs of bytes other than blank, tab, LF, VT, FF and CR; windows lie in one document and are
-    judged on the input. Returns documents' columns (a column named spans is dropped) and n_units (words), n_removed,
+    judged on the input. Returns documents' columns and n_units (words), n_removed,
     removed_spans (word ranges), kept (binary: kept words joined by one blank).
 
-    Null text: no words. A null doc_id: the row stays whole and matches nothing. Rows with one doc_id and text are
-    one occurrence: repeated rows do not remove each other and all get the same result. Texts shorter than
-    ``length`` words stay whole. An empty table gives an empty result.
+    Null text: no words. A null doc_id: the row stays whole and matches nothing. A document is a (doc_id, text): rows that repeat
+    both are one occurrence, do not remove each other and get one result; one doc_id with several texts is several
+    documents. Other columns are kept; those named like a result (whatever their case) are replaced. Texts shorter
+    than ``length`` words stay whole. An empty table gives an empty result.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
     u = Units(True, length, gram, False)
-    return removed(documents, repeated_spans(documents, u, extend), u)
+    return removed(documents, u, extend)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tallyline.llm import textops as T
-from tallyline.llm.repeats import Units, removed, repeated_spans
+from tallyline.llm.repeats import Units, removed
 
 #: A reduced text with more distinct names than this is sorted by doubling: one array operation a bucket no longer pays.
 NAMES = 2048
@@ -159,13 +159,15 @@ def shard(key: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray, f
 def suffix_dedup(documents: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that also starts earlier (smaller doc_id, or same document, earlier start).
 
-    Texts are UTF-8 bytes; strings lie in one document and are judged on the input. Returns documents' columns (a
-    column named spans is dropped) and n_units (bytes), n_removed, removed_spans (byte ranges, maximal runs), kept (binary).
+    Texts are UTF-8 bytes; strings lie in one document and are judged on the input. Returns documents'
+    columns and n_units (bytes), n_removed, removed_spans (byte ranges, maximal runs), kept (binary).
 
-    Null text: empty. A null doc_id: the row stays whole and matches nothing. Rows with one doc_id and text are one
-    occurrence: repeated rows do not remove each other and all get the same result. An empty table gives an empty result.
+    Null text: empty. A null doc_id: the row stays whole and matches nothing. A document is a (doc_id, text): rows that repeat
+    both are one occurrence, do not remove each other and get one result; one doc_id with several texts is several
+    documents, in the order of a digest of their texts. Other columns are kept; those named like a result (whatever their case) are replaced. An
+    empty table gives an empty result.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
     u = Units(False, length, gram, True)
-    return removed(documents, repeated_spans(documents, u, shard), u)
+    return removed(documents, u, shard)
