@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.tables import written
+from tallyline.llm.tables import others, written
 
 BLANKS = r"\x20\x09-\x0D"
 RANGE, FEW_SOURCES = 4096, 50_000
@@ -52,22 +52,25 @@ def mix(documents: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (
     between (key weights 2, 0.5, 1). Sources by code point, null last, weigh ``weights``, repeating. A document that a
     budget ends in is taken up to that word. most may be 2 at most: no document is taken more often than that.
 
-    Null text: size 0, taken 0. A null doc_id draws like an empty id. Rows that repeat a doc_id are documents of their
+    Null text: size 0, taken 0. A document with a null doc_id draws by its text. Rows that repeat a doc_id are documents of their
     own that share a draw; equal keys go by doc_id, then size. Sources without words have target 0. An empty table gives
-    an empty result. Columns of documents named size, source_size, target or taken are replaced.
+    an empty result. Columns of documents named size, source_size, target or taken (whatever their case) are replaced.
     """
-    own = [c for c in documents.columns if c not in ("size", "source_size", "target", "taken")]
-    docs = documents.select(own).withColumn("size", word_count(F.col("text").cast("string")))
+    # The columns of documents have names of their own while the mix is worked out, so that none can clash.
+    own = others(documents, "size", "source_size", "target", "taken")
+    renamed = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)]
+    needed = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.col("text").cast("string").alias("text")]
+    docs = documents.select(*renamed, *needed).withColumn("size", word_count(F.col("text")))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     goals = written(targets(sizes, weights, share, most).select("source", "source_size", "rows", "target", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))).alias("number")))
     small = F.broadcast(goals) if goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else goals  # a row a source
     goal = small.withColumnRenamed("source", "name")
     grade = quality.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("graded")).agg(F.max("quality").alias("grade"))
 
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
     unit = (draw + F.lit(0.5)) / F.lit(float(1 << 52))
     better = F.when(F.col("grade") == 1, 2.0).when(F.col("grade") == 0, 0.5).otherwise(1.0)
-    rows = docs.join(grade, F.col("doc_id").cast("long") == F.col("graded"), "left").withColumn("draw_key", -F.log(unit) / better)
+    rows = docs.join(grade, F.col("doc_id") == F.col("graded"), "left").withColumn("draw_key", -F.log(unit) / better)
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("name"))).drop("name", "graded", "grade")
     parts = F.ceil(F.col("rows") / RANGE)
     rows = rows.withColumn("part", F.least(parts - 1, F.floor((F.lit(1.0) - F.exp(-F.col("draw_key"))) * parts)))
@@ -80,13 +83,16 @@ def mix(documents: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round("target").cast("long") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("offset")))
-    return placed.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*own, "size", "source_size", "target", "taken")
+    return placed.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], "size", "source_size", "target", "taken")
 
 
 def taken_text(mixed: DataFrame) -> DataFrame:
     """One row for each time that a document is taken: whole texts, then the part that a budget ends in."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    copies = mixed.withColumns({"whole": whole, "rest": rest}).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    own = others(mixed, "size", "source_size", "target", "taken")
+    renamed = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)]
+    copies = mixed.select(*renamed, F.col("text").alias("text"), whole.alias("whole"), rest.alias("rest"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
     copies = copies.where((F.col("copy") <= F.col("whole")) | ((F.col("copy") == F.col("whole") + 1) & (F.col("rest") > 0)))
-    return copies.withColumn("text", F.when(F.col("copy") <= F.col("whole"), F.col("text")).otherwise(first_words(F.col("text"), F.col("rest")))).drop("whole", "rest", "copy", "size", "source_size", "target", "taken")
+    text = F.when(F.col("copy") <= F.col("whole"), F.col("text")).otherwise(first_words(F.col("text"), F.col("rest")))
+    return copies.select(*[text.alias(c) if c.lower() == "text" else F.col(f"own_{i}").alias(c) for i, c in enumerate(own)])

@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.llm.tables import others
+
+#: Intervals that are sent to all tasks at most (about 100 bytes each), and parts that a host's rows are dealt to where there are more.
+FEW, SALTS = 100_000, 16
+
 
 def host_of(url: Column) -> Column:
     """Host in lower case, without user, port and final dot; empty where there is none."""
@@ -33,16 +38,24 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched_at) with host, blocked (boolean) and lists (names of lists active for it at fetch time, sorted, joined by commas; empty: none).
 
     Null or hostless URLs and null fetch times are not blocked. Repeated rows are all kept, with equal verdicts. Columns
-    of captures named host, blocked or lists are replaced. Empty captures give an empty result; without entries
-    nothing is blocked.
+    of captures named host, blocked or lists (whatever their case) are replaced. Empty captures give an empty result;
+    without entries nothing is blocked.
+
+    A host is looked up under itself and all hosts above it, so very many rows ask for a name like ``com``. A short list
+    goes to all tasks; of a longer one each task has a part of every host's rows (SALTS).
     """
-    own = [c for c in captures.columns if c not in ("host", "blocked", "lists")]
-    rows = captures.select(own).withColumn("host", host_of(F.col("url").cast("string")))
-    asked = rows.where("host <> '' AND fetched_at IS NOT NULL").select(F.col("host").alias("asked_host"), F.col("fetched_at").alias("asked_at")).distinct()
-    labels = F.split("asked_host", r"\.")
-    above = asked.withColumn("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    held = intervals(entries)
-    active = above.join(held, "host").where((F.col("asked_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("asked_at") < F.col("until"))))
-    verdict = active.groupBy("asked_host", "asked_at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    joined = rows.join(verdict, (F.col("host") == F.col("asked_host")) & (F.col("fetched_at") == F.col("asked_at")), "left")
-    return joined.select(*own, "host", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"))
+    own = others(captures, "host", "blocked", "lists")
+    rows = captures.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], host_of(F.col("url").cast("string")).alias("host"), F.col("fetched_at").alias("at"))
+    asked = rows.where("host <> '' AND at IS NOT NULL").select(F.col("host").alias("asked"), "at").distinct()
+    labels = F.split("asked", r"\.")
+    above = asked.withColumn("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    held = intervals(entries).withColumnRenamed("host", "name")
+    now = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    if held.limit(FEW + 1).count() <= FEW:
+        active = above.join(F.broadcast(held), "name").where(now)
+    else:
+        salted = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        active = above.withColumn("salt", F.pmod(F.xxhash64("asked", "at"), F.lit(SALTS)).cast("int")).join(salted, ["name", "salt"]).where(now)
+    verdict = active.groupBy(F.col("asked").alias("host"), "at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    joined = rows.join(verdict, ["host", "at"], "left")
+    return joined.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], "host", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"))
