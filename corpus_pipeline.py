@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.bpe import bpe
-from tallyline.llm.jaccard_join import jaccard_join
+from tallyline.llm.jaccard_join import one_of_each
 from tallyline.llm.language_id import identify, train
 from tallyline.llm.mixing import mix, taken_text
-from tallyline.llm.queries import TOKENIZERS, held_out, table
+from tallyline.llm.queries import held_out, table, vocabulary
 from tallyline.llm.suffix_dedup import suffix_dedup
 from tallyline.llm.tables import written
 
@@ -18,16 +18,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no letters, or no language with half of the posterior); a null lang becomes the predicted one."""
-    model = train(docs.where(~held_out()).select("text", "lang"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    model = train(docs.where(~held_out()).select("text", "lang"), vocabulary("piece_bpe_32k.model"))
     out = identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und' AND lang_score >= 0.5")
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once; documents without an id stay."""
-    stay = jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and a digest of what they decode to."""
-    out = bpe(docs.select(*COLUMNS), f"{TOKENIZERS}/word_bpe_49k.json")
+    out = bpe(docs.select(*COLUMNS), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
