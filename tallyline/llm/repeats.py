@@ -1,8 +1,8 @@
 """Exact repeats of L units (words or bytes) over a whole corpus, without pairs of documents.
 
 A *unit* is a word or a byte. Of every window of L units the k-gram with the smallest hash is its anchor, so two
-equal windows have equal anchors at the same place. What an anchor can tell about is its *fragment*: the anchor
-with up to L-k units on either side. Three levels settle all windows:
+equal windows have equal anchors at the same place. What an anchor can tell about is its *fragment*: the units of
+all windows that it is the anchor of. Three levels settle all windows:
 
 1. In a block of documents (a task's own memory): fragments that are equal settle each other at once; one
    of them represents the others from here on. So however often a passage is copied, at most a few rows of
@@ -59,24 +59,25 @@ class Units:
         return values, np.searchsorted(a, start), np.searchsorted(a, end), (buf, a, b)
 
 
-def anchors(values: np.ndarray, first: np.ndarray, last: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and documents of all anchors: a gram is one if it is the smallest of some window of its document."""
+def anchors(values: np.ndarray, first: np.ndarray, last: np.ndarray, u: Units) -> tuple[np.ndarray, ...]:
+    """Positions, hashes and documents of all anchors, and the first and last window that each is the anchor of.
+
+    A window's anchor is its gram with the smallest upper half of the hash, the leftmost of several. So every window has
+    one anchor, which its content alone places in it.
+    """
     empty = np.zeros(0, np.int64)
-    if len(values) < u.length:
-        return empty, empty.astype(np.uint64), empty
-    width = u.length - u.gram + 1
-    grams = T.gram_hashes(values, u.gram)
-    least = T.sliding(grams, width, np.minimum)
     sizes = np.maximum(0, last - first - u.length + 1)
-    starts = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-    padded[starts + width - 1] = least[starts]
-    del least
-    pos = np.flatnonzero(T.sliding(padded, width, np.maximum) == grams)
-    doc = np.searchsorted(last, pos, side="right")
-    inside = (pos >= first[np.minimum(doc, len(first) - 1)]) & (doc < len(first))
-    pos, doc = pos[inside], doc[inside]
-    return pos, grams[pos], doc
+    if len(values) < u.length or not sizes.any():
+        return empty, empty.astype(np.uint64), empty, empty, empty
+    grams = T.gram_hashes(values, u.gram)
+    low = T.U64(0xFFFFFFFF)
+    least = T.sliding((grams & ~low) | np.arange(len(grams), dtype=np.uint64), u.length - u.gram + 1, np.minimum)
+    doc = np.repeat(np.arange(len(first)), sizes)
+    starts = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+    pos = (least[starts] & low).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1]))))
+    end = np.concatenate((new[1:], [len(pos)])) - 1
+    return pos[new], grams[pos[new]], doc[new], starts[new], starts[end]
 
 
 def batch(key, kind, alike, doc, pos, size, frag=None) -> pa.RecordBatch:
@@ -143,10 +144,10 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def level_one(ids: np.ndarray, raw: list[bytes | None], u: Units) -> Iterator[pa.RecordBatch]:
     values, first, last, _ = u.of(raw)
-    pos, key, doc = anchors(values, first, last, u)
+    pos, key, doc, lo, hi = anchors(values, first, last, u)
     if len(pos) == 0:
         return
-    lo, hi = np.maximum(first[doc], pos - u.slack), np.minimum(last[doc], pos + u.length)
+    hi = hi + u.length
     alike = T.mix(T.span_hashes(values, lo, hi, 1) + (pos - lo).astype(np.uint64))
     did, at = ids[doc], pos - first[doc]
     order = np.lexsort((at, did, alike, key))
@@ -302,7 +303,7 @@ def repeated_spans(docs: DataFrame, u: Units, compare: Callable) -> DataFrame:
         .mapInArrow(settler(u, compare), ROW)
     )
     at_once = settled.union(kept.where(f"kind = {SPAN}")).select("doc", F.col("pos").alias("lo"), (F.col("pos") + F.col("size")).alias("hi"))
-    return at_once.union(equal).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return written(at_once.union(equal).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), drop=(kept,))
 
 
 def removed(documents: DataFrame, u: Units, compare: Callable) -> DataFrame:

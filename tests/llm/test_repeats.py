@@ -80,3 +80,46 @@ def test_edges(spark):
         twice = frame(spark, [(1, "q " * 80), (1, "q " * 80), (None, "q " * 80)])
         got = {(r.doc_id, r.n_removed) for r in op(twice).collect()}
         assert (None, 0) in got and len(got) == 2
+
+
+def test_large_suffix_array_recurses():
+    """Reduced texts of very many names are sorted by the recursion, too."""
+    from tallyline.llm import suffix_dedup as S
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    b = " ".join(rng.choice(words) for _ in range(150_000)).encode()[:1_000_000]
+    depth, names, sort = [], [], S.suffix_array
+
+    def watched(s, sigma=256):
+        depth.append(len(s))
+        names.append(sigma)
+        return sort(s, sigma)
+
+    S.suffix_array = watched
+    try:
+        sa = watched(np.frombuffer(b, np.uint8))
+    finally:
+        S.suffix_array = sort
+    assert len(depth) > 2 and depth[1] > 200_000 and max(names) > 2048
+    assert len(set(sa.tolist())) == len(b)
+    rank = np.empty(len(b) + 1, np.int64)
+    rank[sa], rank[len(b)] = np.arange(len(b)), -1
+    i, j = sa[:-1], sa[1:]
+    text = np.frombuffer(b, np.uint8)
+    assert ((text[i] < text[j]) | ((text[i] == text[j]) & (rank[i + 1] < rank[j + 1]))).all()
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 4, 200])
+def test_common_prefixes(alphabet):
+    from tallyline.llm.suffix_dedup import common_prefixes
+
+    rng = random.Random(alphabet)
+    for _ in range(60):
+        b = bytes(rng.randrange(alphabet) for _ in range(rng.randint(1, 60))) * rng.randint(1, 3)
+        sa = suffix_array(np.frombuffer(b, np.uint8))
+        got = common_prefixes(np.frombuffer(b, np.uint8), sa)
+        for k, i in enumerate(sa):
+            j = sa[k - 1] if k else i
+            want = next((w for w in range(len(b)) if max(i, j) + w >= len(b) or b[i + w] != b[j + w]), len(b)) if k else 0
+            assert got[i] == want
