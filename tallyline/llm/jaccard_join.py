@@ -172,13 +172,14 @@ def possible(sketch: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(differing(xs[i], ys[i]) <= total - 2 * -(-percent * total // (100 + percent)))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(run, "x long, y long"))
+    return written(both.mapInArrow(run, "x long, y long"), drop=(parts,))
 
 
 def verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets link. x's text goes to all its y, in parts of about TOGETHER."""
-    parts = dealt(possible(sketch, pairs, percent))
-    asked = written(parts.select(F.col("y").alias("doc"), "x", "part", F.lit(1).alias("role")).union(parts.select(F.col("x").alias("doc"), "x", "part", F.lit(0).alias("role")).distinct()))
+    near = possible(sketch, pairs, percent)
+    parts = dealt(near)
+    asked = written(parts.select(F.col("y").alias("doc"), "x", "part", F.lit(1).alias("role")).union(parts.select(F.col("x").alias("doc"), "x", "part", F.lit(0).alias("role")).distinct()), drop=(parts, near))
     sent = docs.join(asked, "doc").select("x", "part", "role", "doc", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role", "doc")
 
     def run(batches):
@@ -196,22 +197,23 @@ def verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, pe
                         out.append((x[i], doc[i]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["x", "y"])
 
-    return written(sent.mapInArrow(run, "x long, y long"))
+    return written(sent.mapInArrow(run, "x long, y long"), drop=(asked,))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) for all nodes that have a link: minimum of neighbours, then labels of labels, until nothing changes."""
     edges = written(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).where("u != v").distinct())
     labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    old = None
     while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step)
+        step = written(step, drop=(old,) if old is not None else ())
         up = step.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        new = written(step.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), (F.least("label", F.coalesce("higher", "label")) != F.col("old")).alias("changed")))
-        labels = new.select("node", "label")
+        new = written(step.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), (F.least("label", F.coalesce("higher", "label")) != F.col("old")).alias("changed")), drop=(step, labels) if old is None else (step,))
+        labels, old = new.select("node", "label"), new
         if new.where("changed").limit(1).count() == 0:
-            return labels
+            return written(labels, drop=(new, edges))
 
 
 def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -220,20 +222,21 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     member = found.where(f"kind = {MEMBER}").select("doc", "n", "k1", "k2")
     # Written, so that the join reads plain tables and a class with very many members can be split among tasks.
     classes = written(member.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
-    member = written(member.join(classes, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
+    member = written(member.join(classes, ["k1", "k2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), drop=(classes,))
     sketch = written(found.where(f"kind = {MEMBER}").select("doc", "n", "sketch").dropDuplicates(["doc"]))
     reps = member.select("doc", "rep").distinct()
     near = found.where(f"kind = {PREFIX}").join(reps, "doc").withColumnRenamed("k1", "place").groupBy("token", "rep").agg(*(F.max(c).alias(c) for c in ("n", "need", "common", "place")))
-    near = written(near)
+    near = written(near, drop=(found,))
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     middle = near.groupBy("token").agg(F.max(F.struct("common", (-F.col("rep")).alias("back"), F.col("n").alias("size"))).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token", (-F.col("m.back")).alias("x"), F.col("m.size").alias("xn"))
     star = written(near.join(middle, "token").where((F.col("rep") != F.col("x")) & alike(F.col("n"), F.col("xn"))).select("x", F.col("rep").alias("y")).distinct())
     links = verified(docs, sketch, star, size, percent)
-    first = components(links).withColumnRenamed("node", "rep")
+    component = components(links)
+    first = component.withColumnRenamed("node", "rep")
 
-    marked = written(near.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    marked = written(near.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")), drop=(near, links))
     mixed = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
-    open_ = written(marked.join(mixed, "token"))
+    open_ = written(marked.join(mixed, "token"), drop=(marked,))
     one = open_.where("label != main").select("token", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "need", "label", "place")))
     # For two given sizes the prefixes that matter are shorter than for any partner: n - overlap + need of each.
     overlap = F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent))
@@ -246,15 +249,18 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shared"), F.max(must).alias("must")).where("shared >= must")
         .select("x", "y").join(tried, ["x", "y"], "left_anti")
     )
-    more = verified(docs, sketch, written(across), size, percent)
+    across = written(across, drop=(open_, star))
+    more = verified(docs, sketch, across, size, percent)
     label = first.withColumnRenamed("rep", "node")
     of = lambda c: more.select("x", "y").join(label.select(F.col("node").alias(c), F.col("label").alias(f"{c}l")), c, "left")
     joined = of("x").join(label.select(F.col("node").alias("y"), F.col("label").alias("yl")), "y", "left").select(F.coalesce("xl", "x").alias("x"), F.coalesce("yl", "y").alias("y"))
-    second = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return (
+    top = components(joined)
+    second = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    out = (
         member.join(first, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(second, "label", "left")
         .select("doc", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("top", "label").alias("component_id"))
     )
+    return written(out, drop=(member, component, top, more, across, sketch))
 
 
 def jaccard_join(documents: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:

@@ -52,38 +52,48 @@ def mix(documents: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (
     between (key weights 2, 0.5, 1). Sources by code point, null last, weigh ``weights``, repeating. A document that a
     budget ends in is taken up to that word. most may be 2 at most: no document is taken more often than that.
 
-    Null text: size 0, taken 0. A document with a null doc_id draws by its text. Rows that repeat a doc_id are documents of their
-    own that share a draw; equal keys go by doc_id, then size. Sources without words have target 0. An empty table gives
-    an empty result. Columns of documents named size, source_size, target or taken (whatever their case) are replaced.
+    Null text: size 0, taken 0. A document with a null doc_id draws by its text. Rows that repeat a doc_id are documents of
+    their own that share a draw; equal keys go by doc_id, then size, then a digest. Rows that repeat doc_id, source and text
+    are alike: what is taken of them is shared evenly, to whole words. Sources without words have target 0. An empty
+    table gives an empty result. Columns of documents named size, source_size, target or taken (whatever their case) are replaced.
+
+    Texts are read once for their sizes; all sorting is done on narrow rows, which meet the documents again by digests.
     """
-    # The columns of documents have names of their own while the mix is worked out, so that none can clash.
     own = others(documents, "size", "source_size", "target", "taken")
-    renamed = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)]
-    needed = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.col("text").cast("string").alias("text")]
-    docs = documents.select(*renamed, *needed).withColumn("size", word_count(F.col("text")))
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    digests = [F.xxhash64(key, "source", text).alias("digest_a"), F.xxhash64(F.lit(1), text, "source", key).alias("digest_b")]
+    draw_of = F.md5(F.concat(F.coalesce(key.cast("string"), text, F.lit("")), F.lit(f":{seed}")))
+    draw = F.conv(F.substring(draw_of, 1, 13), 16, 10).cast("long")
+    narrow = written(documents.select(key.alias("doc_id"), F.col("source").alias("source"), word_count(text).alias("size"), draw.alias("draw"), *digests))
+    same = ("digest_a", "digest_b")
+    alike = narrow.groupBy(*same, "doc_id", "source", "size", "draw").agg(F.count(F.lit(1)).alias("copies")).withColumn("all_size", F.col("size") * F.col("copies"))
+
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     goals = written(targets(sizes, weights, share, most).select("source", "source_size", "rows", "target", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))).alias("number")))
-    small = F.broadcast(goals) if goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else goals  # a row a source
-    goal = small.withColumnRenamed("source", "name")
-    grade = quality.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("graded")).agg(F.max("quality").alias("grade"))
+    goal = F.broadcast(goals) if goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else goals  # a row a source
+    grade = quality.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("grade"))
 
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
-    unit = (draw + F.lit(0.5)) / F.lit(float(1 << 52))
+    unit = (F.col("draw") + F.lit(0.5)) / F.lit(float(1 << 52))
     better = F.when(F.col("grade") == 1, 2.0).when(F.col("grade") == 0, 0.5).otherwise(1.0)
-    rows = docs.join(grade, F.col("doc_id") == F.col("graded"), "left").withColumn("draw_key", -F.log(unit) / better)
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("name"))).drop("name", "graded", "grade")
+    rows = alike.join(grade, "doc_id", "left").withColumn("draw_key", -F.log(unit) / better).drop("draw", "grade")
+    rows = rows.join(goal.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     parts = F.ceil(F.col("rows") / RANGE)
     rows = rows.withColumn("part", F.least(parts - 1, F.floor((F.lit(1.0) - F.exp(-F.col("draw_key"))) * parts)))
 
-    sums = rows.groupBy("number", "part").agg(F.sum("size").alias("part_size"))
+    sums = rows.groupBy("number", "part").agg(F.sum("all_size").alias("part_size"))
     before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("number", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("number", "part").orderBy("draw_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["number", "part"])
+    within = Window.partitionBy("number", "part").orderBy("draw_key", "doc_id", "size", *same).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("ahead", F.coalesce(F.sum("all_size").over(within), F.lit(0))).join(offsets, ["number", "part"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round("target").cast("long") - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("offset")))
-    return placed.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], "size", "source_size", "target", "taken")
+    part = F.greatest(F.lit(0), F.least(F.col("all_size"), rest - F.col("ahead") - F.col("offset")))
+    taken = (epochs * F.col("size") + F.floor(part / F.col("copies"))).cast("long")
+    results = ("size", "source_size", "target", "taken")
+    found = written(placed.withColumn("taken", taken).select(*same, *results), drop=(narrow, goals))
+    # The columns of documents have names of their own until the end, so that none can clash.
+    docs = documents.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], *digests)
+    return docs.join(found, list(same)).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], *results)
 
 
 def taken_text(mixed: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def written(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     """df, computed once, written to the shared folder and read again; then the written tables in ``drop`` are deleted.
 
     Cuts the lineage: a lost executor costs a re-read of these files, not a recomputation. Only drop what no other plan
-    reads. The files of a table that an operator's result reads live as long as the shared folder does.
+    reads. What the job shuffled is no longer needed either: a collection on the driver lets Spark clean it up. The files
+    of a table that an operator's result reads live as long as the shared folder does.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyline-{uuid.uuid4().hex}"
@@ -26,6 +27,8 @@ def written(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     for old in drop:
         place = spark._jvm.org.apache.hadoop.fs.Path(old.written_to)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if drop:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
