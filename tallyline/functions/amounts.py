@@ -8,8 +8,8 @@ AMOUNT = "decimal(28,4)"
 SPACES = "       \t"
 
 
-def parse_amount(raw: Column) -> Column:
-    """Exact amount of a text; 0 for null and for anything that is not an amount.
+def parse_amount(raw: Column, null_is_zero: bool = True) -> Column:
+    """Exact amount of a text; 0 for anything that is not an amount, and for null (unless null_is_zero is off).
 
     The later of comma and dot is the decimal mark. A lone comma before exactly three characters groups thousands;
     several dots do, but for the last. Parentheses make an amount negative.
@@ -29,7 +29,8 @@ def parse_amount(raw: Column) -> Column:
     )
     value = F.regexp_replace(number, r"^\+", "").try_cast(AMOUNT)
     value = F.when(t.rlike(r"^[0-9.,+\-]+$"), F.coalesce(value, F.lit(0).cast(AMOUNT))).otherwise(F.lit(0).cast(AMOUNT))
-    return F.when(negative, -value).otherwise(value).cast(AMOUNT)
+    amount = F.when(negative, -value).otherwise(value).cast(AMOUNT)
+    return amount if null_is_zero else F.when(raw.isNotNull(), amount)
 
 
 def looks_like_amount(raw: Column) -> Column:

@@ -9,17 +9,26 @@ from tallyline.functions.texts import clean_text
 #: Fixed value: the tagged form.
 TAGGED = r"(?isu)(?:МФО|МФ0|MFO|БИК|BIK)\s*[:\-]?\s*(\d*).*?(?:Счет|Счёт|Schet|Hisob)\s*[:\-]?\s*(\d*)(?:.*?(?:ИНН|INN|СТИР|STIR)\s*[:\-]?\s*(\d*))?"
 
+#: A text that ends with nine digits; what separates the fields of one match.
+ENDS, MARK = r"^(.*?)[ .,]*(\d{9})$", "\u0001"
+
 
 def strip_trailing_inn(text: Column) -> Column:
     """struct(name, inn): nine digits at the end are an INN, peeled up to three times; the rightmost counts. Twelve digits or more are no INN."""
-    name, inn = clean_text(text), F.lit("")
-    for _ in range(3):
-        rest = F.regexp_replace(F.regexp_extract(name, r"^(.*?)[ .,]*(\d{9})$", 1), r"[ .,]+$", "")
-        last = F.regexp_extract(name, r"^(.*?)[ .,]*(\d{9})$", 2)
-        peel = (last != "") & (rest != "") & ~name.rlike(r"\d{12}$")
-        inn = F.when(peel & (inn == ""), last).otherwise(inn)
-        name = F.when(peel, rest).otherwise(name)
-    return F.struct(F.regexp_replace(name, r"^[ .,]+|[ .,]+$", "").alias("name"), inn.alias("inn"))
+
+    def peeled(x: Column) -> Column:
+        off = (x["last"] != "") & (x["rest"] != "") & ~x["name"].rlike(r"\d{12}$")
+        inn = F.when(off & (x["inn"] == ""), x["last"]).otherwise(x["inn"])
+        return F.struct(F.when(off, x["rest"]).otherwise(x["name"]).alias("name"), inn.alias("inn"))
+
+    def once(have: Column, _: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(have["name"], ENDS, 1), r"[ .,]+$", "")
+        seen = F.struct(have["name"].alias("name"), have["inn"].alias("inn"), rest.alias("rest"), F.regexp_extract(have["name"], ENDS, 2).alias("last"))
+        return F.get(F.transform(F.array(seen), peeled), F.lit(0))
+
+    start = F.struct(clean_text(text).alias("name"), F.lit("").alias("inn"))
+    trimmed = lambda x: F.struct(F.regexp_replace(x["name"], r"^[ .,]+|[ .,]+$", "").alias("name"), x["inn"].alias("inn"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, once, trimmed)
 
 
 def parse_counterparty(blob: Column) -> Column:
@@ -32,20 +41,23 @@ def parse_counterparty(blob: Column) -> Column:
     def made(account, inn, name, bank, purpose=empty):
         return F.struct(account.alias("account"), inn.alias("inn"), name.alias("name"), bank.alias("bank_code"), purpose.alias("purpose"))
 
-    def tag(s, i):
-        return F.regexp_extract(s, TAGGED, i)
+    def tags(s):
+        """Bank code, account, INN and what follows, by one match; a single element without one."""
+        return F.split(F.regexp_replace(s, TAGGED.replace(")", ")^.*?", 1) + "(.*)$", MARK.join(("$1", "$2", "$3", "$4"))), MARK)
 
-    tagged = lambda s: s.rlike(TAGGED) & ((tag(s, 1) != "") | (tag(s, 2) != ""))
-    many = made(tag(first, 2), tag(first, 3), clean_text(F.get(lines, F.lit(1))), tag(first, 1), clean_text(F.array_join(F.slice(lines, 3, 10_000), " ")))
-    text = clean_text(raw)
-    after = F.regexp_replace(F.regexp_extract(text, TAGGED + "(.*)$", 4), r"^[ /|\-]+|[ /|\-]+$", "")
-    one = made(tag(text, 2), tag(text, 3), after, tag(text, 1))
+    tag = lambda t, i: F.get(t, F.lit(i))
+    tagged = lambda t: (F.size(t) == 4) & ((tag(t, 0) != "") | (tag(t, 1) != ""))
+    text, of_line = clean_text(raw), tags(first)
+    of_text = tags(text)
+    many = made(tag(of_line, 1), tag(of_line, 2), clean_text(F.get(lines, F.lit(1))), tag(of_line, 0), clean_text(F.array_join(F.slice(lines, 3, 10_000), " ")))
+    after = F.regexp_replace(tag(of_text, 3), r"^[ /|\-]+|[ /|\-]+$", "")
+    one = made(tag(of_text, 1), tag(of_text, 2), after, tag(of_text, 0))
     p = F.transform(F.split(text, "/"), lambda x: F.trim(x))
     is_inn = F.coalesce(F.get(p, F.lit(1)), empty).rlike(r"^\d{7,12}$")
     slashed = F.when((F.size(p) >= 3) & is_inn, made(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.array_join(F.slice(p, 3, 10_000), "/"), empty)).otherwise(made(F.get(p, F.lit(0)), empty, F.array_join(F.slice(p, 2, 10_000), "/"), empty))
     plain = strip_trailing_inn(text)
     return (
-        F.when((F.size(lines) > 1) & tagged(first), many).when(tagged(text), one)
+        F.when((F.size(lines) > 1) & tagged(of_line), many).when(tagged(of_text), one)
         .when((F.size(p) >= 2) & F.get(p, F.lit(0)).rlike(r"^\d{16,20}$"), slashed)
         .otherwise(made(find_account(text), plain["inn"], plain["name"], empty))
     )

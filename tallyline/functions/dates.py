@@ -3,28 +3,41 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accepted forms, in order.
-FORMS = ("d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy", "d.M.yy H:m:s", "d.M.yy H:m", "d.M.yy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d/M/yyyy H:m:s", "d/M/yyyy", "d-M-yyyy", "yyyy.M.d")
+#: Accepted forms. Day first: a four-digit year with dots (any time), slashes (no time, or one with seconds)
+#: or hyphens (no time); a two-digit year with dots (any time). Year first: with hyphens (any time) or dots (no time).
+WHOLE = r"^(?:(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})|(\d{4})([.-])(\d{1,2})\6(\d{1,2}))(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
+#: Year, month, day, hour, minute, second, separator (after a Y, where the year is first).
+FIELDS = "$4$5|$3$7|$1$8|$9|$10|$11|$2Y$6"
 DATE, TIME = r"(?U)\b(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})\b", r"(?U)\b(\d{1,2}:\d{2}(?::\d{2})?)\b"
 
 
 def _whole(s: Column) -> Column:
-    found = []
-    for form in FORMS:
-        t = F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz")
+    """The time that the whole text is, in one match; null if it is none."""
+
+    def made(p: Column) -> Column:
+        at = lambda i: F.get(p, F.lit(i))
+        number = lambda i: F.coalesce(at(i).try_cast("int"), F.lit(0))
+        short, clock, seconds = F.length(at(0)) == 2, at(3) != "", at(5) != ""
+        fits = F.when(at(6) == ".Y", True).when(at(6) == "/Y", ~short & (~clock | seconds)).when(at(6) == "-Y", ~short & ~clock).when(at(6) == "Y-", True).otherwise(~clock)
         # Two-digit years from 69 on are of the last century.
-        found.append(F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEAR")).otherwise(t) if "yyyy" not in form else t)
-    return F.coalesce(*found)
+        year = number(0) + F.when(short, F.when(number(0) >= 69, 1900).otherwise(2000)).otherwise(0)
+        return F.when((F.size(p) == 7) & fits, F.try_make_timestamp_ntz(year, number(1), number(2), number(3), number(4), number(5).cast("decimal(16,6)")))
+
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(s, WHOLE, FIELDS), r"\|")), made), F.lit(0))
 
 
 def parse_datetime(raw: Column) -> Column:
-    """The whole text in one of FORMS; else a serial number in [25000, 80000] counted in days from 1899-12-30; else its
-    first date (with its first time, or alone). Null where nothing fits."""
+    """The whole text in one of FORMS; else its first date (with its first time, or alone). Null where nothing fits.
+    Day numbers of spreadsheets are ``parse_serial``'s."""
     s = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
     date, time = F.regexp_extract(s, DATE, 1), F.regexp_extract(s, TIME, 1)
     return F.coalesce(_whole(s), F.when(date != "", F.coalesce(F.when(time != "", _whole(F.concat_ws(" ", date, time))), _whole(date))))
 
 
+def looks_like_date(raw: Column) -> Column:
+    return parse_datetime(raw).isNotNull()
+
+
 def parse_serial(number: Column) -> Column:
     """A spreadsheet's day number as a timestamp; null outside [25000, 80000]."""
     micros = F.round(number * 86400 * 1_000_000).cast("long")

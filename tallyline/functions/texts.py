@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyline.vocabulary import BANKS, MARKERS, ROLES, parts
+from tallyline.vocabulary import BANKS, MARKERS, ROLES
 
 #: What a label loses first; what separates its words; Latin letters that look like Cyrillic ones.
 DROPPED = "№#⁋§℮™©®"
@@ -18,9 +18,34 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that NFKC makes another letter, those letters, and the sequences that it changes in labels (ligatures, and marks behind Latin and Cyrillic letters)."""
+    one, many = [], []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]):
+        to = unicodedata.normalize("NFKC", c)
+        if to != c and len(to) == 1:
+            one.append((c, to))
+        elif 0xFB00 <= ord(c) <= 0xFB06 or c == "…":
+            many.append((c, to))
+    for c in map(chr, [*range(0xC0, 0x180), *range(0x400, 0x500)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2:
+            many.append((parts, c))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), many
+
+
+COMPAT_FROM, COMPAT_TO, COMPAT_PARTS = _compatible()
+
+
+def compatible(text: Column) -> Column:
+    """NFKC, as far as labels need it. Plain texts are left alone after one look."""
+    parts = F.aggregate(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in COMPAT_PARTS]), F.translate(text, COMPAT_FROM, COMPAT_TO), lambda s, p: F.replace(s, p["a"], p["b"]))
+    return F.when(text.rlike(r"[\u00A0-\u00BE\u02B0-\u036F\u2000-\u33FF\uF900-\uFFFF]"), parts).otherwise(text)
+
+
 def normalize_label(text: Column) -> Column:
-    """Lower case, separators as single blanks. Compatibility forms (NFKC) only of what vocabularies hold: digits and Latin are taken as they come."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), DROPPED, "")), "(?U)" + BREAKS, " "))
+    """NFKC, lower case, separators as single blanks."""
+    return F.trim(F.regexp_replace(F.lower(compatible(F.translate(F.coalesce(text, F.lit("")), DROPPED, ""))), "(?U)" + BREAKS, " "))
 
 
 def plain_label(text: str) -> str:
@@ -57,7 +82,7 @@ def _any(s: Column, words: list[str], test) -> Column:
 
 
 def markers(kind: str) -> list[str]:
-    return [w for w in map(plain_label, parts(MARKERS[kind])) if w]
+    return [w for w in map(plain_label, MARKERS[kind]) if w]
 
 
 def starts_with_any(normalized: Column, *kinds: str) -> Column:
@@ -86,3 +111,9 @@ def row_text(cells: Column) -> Column:
 
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w.\-]+", "_"), "^_+|_+$", "")
+
+
+def document_number(text: Column, numeric: Column) -> Column:
+    """A number without a zero fraction, any other text cleaned; empty for null."""
+    whole = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\.0+$", "")
+    return F.when(F.coalesce(numeric, F.lit(False)), whole).otherwise(clean_text(text))

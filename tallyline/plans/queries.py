@@ -373,3 +373,6 @@ def format_sniff(spark, sf_dir):
     p = table(spark, sf_dir, "pages").where("html LIKE '<%'").select("page_id", F.encode(F.concat(F.lit("<html>"), F.col("html")), "UTF-8").alias("b"), F.lit("statement.xls").alias("name"))
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.encode(F.concat(F.lit("id;"), F.col("doc_id").cast("string")), "UTF-8").alias("b"), F.lit("/in/x.CSV").alias("name"))
     return p.unionByName(d).select("page_id", sniff(F.col("b"), F.col("name")).alias("kind"))
+
+
+from tallyline.plans import extraction_queries, service_queries, source_queries  # noqa: E402, F401  (they register their queries)

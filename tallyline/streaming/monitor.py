@@ -1,6 +1,7 @@
 """Call metrics and state changes, in batch and as streams."""
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +26,37 @@ def transitions(checks: DataFrame, key: list[str], order: list[str], is_up: Colu
     """WIN7: checks at which a target went down or up again; a target starts up."""
     w = Window.partitionBy(*key).orderBy(*order)
     return checks.withColumn("is_up", is_up).withColumn("was_up", F.lag("is_up", 1, True).over(w)).where("is_up <> was_up")
+
+
+def persist_daily(calls: DataFrame, ts: str, failed: Column, path: str, checkpoint: str, keep: int = 90, now: bool = False):
+    """SVC12: the newest days of a stream of calls, as a table that each batch replaces as a whole: a batch writes a folder
+    of its own (``batch=<n>``), and ``latest_days`` reads the last one that is complete. now: what is there, then stop."""
+
+    def write(days: DataFrame, batch: int) -> None:
+        retained(days, keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    w = daily(calls, ts, failed).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if now else w).start()
+
+
+def latest_days(spark: SparkSession, path: str) -> DataFrame:
+    """What ``persist_daily`` wrote last."""
+    d = spark.read.parquet(path)
+    return d.join(F.broadcast(d.agg(F.max("batch").alias("batch"))), "batch").select("day", "total", "success", "error")
+
+
+def alerts_stream(checks: DataFrame, key: str, order: list[str], is_up: Column) -> DataFrame:
+    """STM1 over a stream: a row each time that a target goes down or up again; a target starts up. The state of a target is its last check.
+
+    checks: key, order columns and what is_up reads. In a batch a target's checks count in their order.
+    """
+    c = checks.withColumn("is_up", is_up).select(key, *order, "is_up")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields)
+
+    def step(_, frames, state):
+        f = pd.concat(list(frames)).sort_values(order)
+        was = [state.get[0] if state.exists else True, *f["is_up"].tolist()[:-1]]
+        state.update((bool(f["is_up"].iloc[-1]),))
+        yield f[f["is_up"] != pd.Series(was, f.index)]
+
+    return c.groupBy(key).applyInPandasWithState(step, shape, "is_up boolean", "append", "NoTimeout")
