@@ -25,7 +25,7 @@ NONE = np.int64(1) << 62
 #: Bits of a leaf that say where its pair is; a word of 2**40 bytes fits in no machine.
 PLACE = 40
 #: Words whose ids are kept at most, in each worker; beyond it they are forgotten and encoded anew.
-WORDS = 150_000
+WORDS = 100_000
 #: White space as the file's patterns mean it.
 BLANK = r"[\t-\r \x85\xa0  -     　]"
 

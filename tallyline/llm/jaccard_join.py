@@ -31,6 +31,8 @@ FREQUENT, TOGETHER = 1 << 17, 64
 #: Estimated candidates from which a prefix asks for one more shared shingle each.
 COSTS = (256, 4096, 65536)
 PREFIX, MEMBER = 0, 1
+#: Bytes of text that a task works on at a time.
+BLOCK = 1 << 20
 #: Bits of the smallest sketch; larger sets have the power of two at or above their size.
 SKETCH = 256
 
@@ -90,7 +92,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches):
-        for _, raw in blocks(batches, ["doc", "text"]):
+        for _, raw in blocks(batches, ["doc", "text"], BLOCK):
             g, _, _ = shingles(raw, size)
             token, n = np.unique(g, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
@@ -111,7 +113,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         token, level = held.value
-        for ids, raw in blocks(batches, ["doc", "text"]):
+        for ids, raw in blocks(batches, ["doc", "text"], BLOCK):
             keep = [i for i, x in enumerate(ids) if x is not None]
             ids, raw = np.array([ids[i] for i in keep], np.int64), [raw[i] for i in keep]
             if not raw:
@@ -184,7 +186,7 @@ def verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, pe
 
     def run(batches):
         now, own = None, None
-        for x, text, part, role, doc in blocks(batches, ["x", "text", "part", "role", "doc"]):
+        for x, text, part, role, doc in blocks(batches, ["x", "text", "part", "role", "doc"], BLOCK):
             g, _, n = shingles(text, size)
             sets = np.split(g, np.cumsum(n)[:-1])
             out = []

@@ -29,7 +29,7 @@ SCALE = 40.0
 #: Probability of a single letter that no piece covers, and of each piece beside its counts.
 UNKNOWN, EXTRA = 1e-7, 0.02
 #: Words whose scores a worker keeps at most; beyond it they are forgotten and worked out anew.
-WORDS = 100_000
+WORDS = 60_000
 _LETTERS = regex.compile(r"\p{L}+").findall
 
 
@@ -193,7 +193,7 @@ class Model:
 
 
 def lattice_of(path: str) -> Lattice:
-    return of_worker("lattice", path, lambda: Lattice(pieces(path)))
+    return of_worker("lattice", path, lambda: Lattice(pieces(path)), keep="word scores")
 
 
 def sample(labelled: DataFrame, documents_each: int) -> DataFrame:
@@ -252,7 +252,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         lattice = lattice_of(m.path)
         scores_of = of_worker("word scores", m.name, lambda: {"at": {}, "table": np.zeros((0, len(m.langs)))}, keep="lattice")
         known, table = scores_of["at"], scores_of["table"]
-        for b in batches:
+        for b in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             langs, scores = [], []
             for a in range(0, len(texts), 256):

@@ -178,7 +178,7 @@ def level_one(ids: np.ndarray, raw: list[bytes | None], u: Units) -> Iterator[pa
 def blocks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = BLOCK_BYTES) -> Iterator[list]:
     """Rows by column, gathered until their texts (the second column) have limit bytes."""
     have, size = [[] for _ in columns], 0
-    for b in batches:
+    for b in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
         cols = [b.column(b.schema.get_field_index(c)) for c in columns]
         raw = cols[1].cast(pa.large_binary()).to_pylist()
         rest = [c.to_pylist() for c in (cols[0], *cols[2:])]
