@@ -1,13 +1,15 @@
 """Vectors in packed blocks, and query blocks against candidate blocks.
 
-A block is one row with the ids and the matrix of a bounded number of vectors of one dimension. Each candidate block
-has a slot and each query block a copy in every slot; blocks meet by an equi-join on dimension and slot, so work
-spreads over the cluster whatever the vectors are like, and a task holds two blocks at a time.
+A block is one row with the ids and the matrix of a bounded number of vectors of one dimension. Blocks meet in a grid: a
+query block has a row of it and a copy in every column, a candidate block a column and a copy in every row. They meet
+by an equi-join on dimension, row and column. The grid has about two cells for each core of the cluster, so work spreads
+whatever the vectors are like, each block is copied about as often as the root of that, and a task holds two blocks at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from tallyline.llm.tables import written
 
 BLOCK = "dim int, block long, ids binary, data binary"
-SLOTS = 16
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -60,10 +61,12 @@ def packed(vectors: DataFrame, rows: int) -> DataFrame:
 
 def met(queries: DataFrame, candidates: DataFrame, work: Callable, schema: str, *more: str) -> DataFrame:
     """work(query ids, query matrix, candidate ids, candidate matrix, *more) for every two blocks of one dimension; it gives tuples of columns."""
-    q = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    q = q.select("dim", "slot", F.col("ids").alias("qids"), F.col("data").alias("qdata"), *more)
-    c = candidates.withColumn("slot", F.expr(f"cast(pmod(xxhash64(block), {SLOTS}) as int)"))
-    pairs = q.join(c, ["dim", "slot"])
+    side = max(4, ceil(sqrt(2 * queries.sparkSession.sparkContext.defaultParallelism)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    of_block = F.expr(f"cast(pmod(xxhash64(block), {side}) as int)")
+    q = queries.select("dim", of_block.alias("row"), every.alias("column"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), *more)
+    c = candidates.select("dim", every.alias("row"), of_block.alias("column"), "ids", "data")
+    pairs = q.join(c, ["dim", "row", "column"])
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
