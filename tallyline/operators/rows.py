@@ -3,9 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions import looks_like_amount, match_role, starts_with_marker
 from tallyline.functions.texts import clean_text, has_marker
-from tallyline.vocabulary import REQUIRED_ROLES, STRONG_ROLES
 
 
 def is_blank(cells: Column) -> Column:
@@ -13,11 +11,6 @@ def is_blank(cells: Column) -> Column:
     return F.forall(cells, lambda c: clean_text(c) == "")
 
 
-def is_control(labels: Column) -> Column:
-    """PRD3: a label starts with a word of totals, counts, balances or ends."""
-    return F.exists(labels, lambda x: starts_with_marker(x, "total") | starts_with_marker(x, "count") | starts_with_marker(x, "opening") | starts_with_marker(x, "closing") | starts_with_marker(x, "daily") | starts_with_marker(x, "end"))
-
-
 def is_section_header(text: Column) -> Column:
     """PRD4"""
     return has_marker(F.substring(text, 1, 160), "section")
@@ -42,31 +35,6 @@ def islands(rows: DataFrame, sheet: list[str], row: str, gap: int) -> DataFrame:
     return rows.withColumn("far", far).withColumn("island", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("far")
 
 
-def headers(rows: DataFrame, sheet: list[str]) -> DataFrame:
-    """STR1-STR3: header rows with roles (map role to first column); rows at most two apart are one header.
-
-    rows: sheet columns, row_idx, cells array<string>. A row qualifies with debit and credit, three strong roles, and no more amount-like cells than roles.
-    """
-    cell = rows.select(*sheet, "row_idx", F.posexplode("cells").alias("col_idx", "cell")).withColumn("role", match_role(F.col("cell")))
-    amounts = cell.groupBy(*sheet, "row_idx").agg(F.count_if(looks_like_amount(F.col("cell"))).alias("numeric"))
-    named = cell.where("role IS NOT NULL AND role <> 'account_ambiguous'").groupBy(*sheet, "row_idx", "role").agg(F.min("col_idx").alias("col_idx"))
-    bare = cell.where("role = 'account_ambiguous'").groupBy(*sheet, "row_idx").agg(F.min("col_idx").alias("bare"))
-    found = named.groupBy(*sheet, "row_idx").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "col_idx")))).alias("roles"))
-    found = found.join(bare, [*sheet, "row_idx"], "left")
-    has = lambda r: F.array_contains(F.map_keys("roles"), r)
-    own = F.when(has("corr_account") | has("corr_blob"), "own_account").otherwise("corr_account")
-    add = F.col("bare").isNotNull() & ~F.array_contains(F.map_keys("roles"), own)
-    found = found.withColumn("roles", F.when(add, F.map_concat("roles", F.create_map(own, F.col("bare")))).otherwise(F.col("roles"))).drop("bare").join(amounts, [*sheet, "row_idx"])
-    keys = F.map_keys("roles")
-    strong = F.size(F.array_intersect(keys, F.array(*map(F.lit, STRONG_ROLES))))
-    needed = F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED_ROLES)))) == len(REQUIRED_ROLES)
-    good = found.where(needed & (strong >= 3) & (F.col("numeric") <= F.size(keys)))
-    one = islands(good, sheet, "row_idx", 2)
-    role = one.select(*sheet, "island", "row_idx", F.explode("roles").alias("role", "col_idx")).groupBy(*sheet, "island", "role").agg(F.min_by("col_idx", "row_idx").alias("col_idx"))
-    merged = role.groupBy(*sheet, "island").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "col_idx")))).alias("roles"))
-    return one.groupBy(*sheet, "island").agg(F.min("row_idx").alias("row"), F.max("row_idx").alias("last_row")).join(merged, [*sheet, "island"])
-
-
 def next_bound(df: DataFrame, sheet: list[str], row: str, end: Column) -> DataFrame:
     """WIN2: the row of the next one, or the sheet's end."""
     return df.withColumn("next_row", F.coalesce(F.lead(row).over(Window.partitionBy(*sheet).orderBy(row)), end))

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyline.operators import extraction, ledger, statements
-from tallyline.plans.queries import ACCOUNT_SQL, LINES, lines, plain, query, sheets, table
+from tallyline.plans.queries import ACCOUNT_SQL, LINES, lines, once, plain, query, sheets, table
 
 
 def reader(kind: str, body: str, most: int) -> tuple[str, str]:
@@ -36,14 +36,14 @@ OPTIONS = extraction.Options(reader, batch_rows=4)
 READ = "o_custkey % 9 <> 0"
 
 
-def _keep(d):
-    return d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.persist()
+def answered(spark, sf_dir, keep):
+    return tuple(map(keep, extraction.extracted(sheets(spark, sf_dir), OPTIONS, keep)))
 
 
 @query(f"SELECT CAST(o_custkey AS VARCHAR) AS file, strftime(o_orderdate, '%d.%m.%Y %H:%M:%S') AS transaction_date, CAST(o_orderkey AS VARCHAR) AS document_number, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END AS debit_amount, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS credit_amount, '20208000' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS counterparty_name, '00419' AS bank_code, o_orderpriority AS payment_purpose, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS INTEGER) AS source_row FROM orders WHERE {READ}")
 def extraction_transactions(spark, sf_dir):
     """LLM2-LLM6: every transaction is answered twice and counts once."""
-    _, _, t = extraction.extracted(sheets(spark, sf_dir), OPTIONS, _keep)
+    _, _, t = once(spark, sf_dir, answered)
     return plain(t.select("file", "transaction_date", "document_number", "debit_amount", "credit_amount", "counterparty_name", "bank_code", "payment_purpose", "source_row"))
 
 
@@ -51,14 +51,14 @@ def extraction_transactions(spark, sf_dir):
 SELECT CAST(c_custkey AS VARCHAR) AS file, {ACCOUNT_SQL} AS account_number, CASE c_nationkey % 3 WHEN 0 THEN 'UZS' WHEN 1 THEN 'USD' ELSE 'EUR' END AS currency, 'A B' AS account_name, n AS transaction_count, d AS total_debit, c AS total_credit, CAST(NULL AS DOUBLE) AS opening_balance, true AS passed FROM t JOIN customer ON c_custkey = o_custkey WHERE {READ}""")
 def extraction_accounts(spark, sf_dir):
     """LLM2, LLM6, NUM4: figures that the model left empty stay null."""
-    _, a, _ = extraction.extracted(sheets(spark, sf_dir), OPTIONS, _keep)
+    _, a, _ = once(spark, sf_dir, answered)
     return plain(a.select("file", "account_number", "currency", "account_name", "transaction_count", "total_debit", "total_credit", "opening_balance", "passed"))
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS file, CASE (o_custkey // 9) % 4 WHEN 0 THEN 'the answer was cut off' WHEN 1 THEN 'the model refused' WHEN 2 THEN 'the answer is empty' ELSE 'the answer is not readable' END AS error FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 9 = 0)")
 def extraction_errors(spark, sf_dir):
     """LLM5"""
-    e, _, _ = extraction.extracted(sheets(spark, sf_dir), OPTIONS, _keep)
+    e, _, _ = once(spark, sf_dir, answered)
     return e.select("file", "error")
 
 

@@ -56,6 +56,17 @@ LEDGER = """l AS (
 )"""
 
 
+_MADE: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, make):
+    """make(spark, sf_dir, keep), kept for other queries of the session that need the same parse."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _MADE:
+        _MADE[key] = make(spark, sf_dir, lambda d: d.persist())
+    return _MADE[key]
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as double."""
     return df.select(*(F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields))
@@ -366,13 +377,19 @@ def amount_json(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(sinks.amount(p)).alias("shown"))
 
 
-@query("SELECT page_id, 'html' AS kind FROM pages WHERE html LIKE '<%' UNION ALL SELECT doc_id, 'csv' FROM documents WHERE text IS NOT NULL")
+#: Separators among the first 4096 bytes, counted in their hexadecimal form.
+_MARKS = "len(regexp_replace(left(hex(encode({0})), 8192), '(3B|2C|09)|..', '\\\\1', 'g')) / 2"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(lower(left(html, 512)), '^\\s*(<\\?xml|<!doctype|<html|<table)') OR lower(left(html, 512)) LIKE '%<table%' THEN 'html' WHEN {_MARKS.format('html')} > 3 THEN 'csv' END AS kind FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches(lower(left(text, 512)), '^\\s*(<\\?xml|<!doctype|<html|<table)') OR lower(left(text, 512)) LIKE '%<table%' THEN 'html' WHEN {_MARKS.format('text')} > 3 THEN 'csv' END FROM documents WHERE text IS NOT NULL""")
 def format_sniff(spark, sf_dir):
+    """SRC1 on the bytes of pages and documents, without a name that tells."""
     from tallyline.sources.files import sniff
 
-    p = table(spark, sf_dir, "pages").where("html LIKE '<%'").select("page_id", F.encode(F.concat(F.lit("<html>"), F.col("html")), "UTF-8").alias("b"), F.lit("statement.xls").alias("name"))
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.encode(F.concat(F.lit("id;"), F.col("doc_id").cast("string")), "UTF-8").alias("b"), F.lit("/in/x.CSV").alias("name"))
-    return p.unionByName(d).select("page_id", sniff(F.col("b"), F.col("name")).alias("kind"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("t"))
+    return p.unionByName(d).where("t IS NOT NULL").select("page_id", sniff(F.encode("t", "UTF-8"), F.lit("statement")).alias("kind"))
 
 
 from tallyline.plans import extraction_queries, service_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -10,9 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyline import functions as fn
-from tallyline.engine import convert_grid
+from tallyline.engine import Conversion, convert_grid
 from tallyline.operators import ledger, rows, sinks, statements
-from tallyline.plans.queries import ACCOUNT_SQL, LEDGER, MONEY, account, ledger_rows, plain, query, table
+from tallyline.plans.queries import ACCOUNT_SQL, LEDGER, MONEY, account, ledger_rows, once, plain, query, table
 from tallyline.sources import files
 
 
@@ -140,9 +140,13 @@ def rich(spark, sf_dir):
 ORDERS = "w AS (SELECT *, o_orderstatus = 'F' OR count(*) FILTER (o_orderstatus <> 'F') OVER (PARTITION BY o_custkey) = 1 AS as_row FROM orders)"
 
 
-def converted(spark, sf_dir, **options):
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    return convert_grid(rich(spark, sf_dir), keep=keep, **options)
+def parsed(spark, sf_dir, keep):
+    c = convert_grid(rich(spark, sf_dir), keep=keep)
+    return Conversion(c.grid, *map(keep, (c.files, c.accounts, c.transactions)))
+
+
+def converted(spark, sf_dir):
+    return once(spark, sf_dir, parsed)
 
 
 @query(f"""WITH {ORDERS} SELECT '/in/' || o_custkey || '.xlsx' AS file, CAST(o_orderkey AS VARCHAR) AS document_number, strftime(CASE WHEN as_row THEN date_trunc('day', o_orderdate) ELSE o_orderdate END, '%d.%m.%Y %H:%M:%S') AS transaction_date,
