@@ -378,7 +378,7 @@ def amount_json(spark, sf_dir):
 
 
 #: Separators among the first 4096 bytes, counted in their hexadecimal form.
-_MARKS = "len(regexp_replace(left(hex(encode({0})), 8192), '(3B|2C|09)|..', '\\\\1', 'g')) / 2"
+_MARKS = "len(regexp_replace(left(hex(encode({0})), 8192), '(3B|2C|09)|..', '\\1', 'g')) / 2"
 
 
 @query(f"""SELECT page_id, CASE WHEN regexp_matches(lower(left(html, 512)), '^\\s*(<\\?xml|<!doctype|<html|<table)') OR lower(left(html, 512)) LIKE '%<table%' THEN 'html' WHEN {_MARKS.format('html')} > 3 THEN 'csv' END AS kind FROM pages WHERE html IS NOT NULL
