@@ -34,7 +34,8 @@ ROW = "key long, kind byte, alike long, doc long, pos int, size int, frag binary
 SPREAD, GROUP = 16, 4096
 #: An anchor's place in its fragment and the fragment's length share a number: place * SIZE + length.
 SIZE = 4096
-BLOCK_BYTES = 2 << 20
+#: Bytes of text of a block, and of the fragments that are settled together (a suffix array takes about 200 times its text).
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -257,7 +258,7 @@ def settler(u: Units, compare: Callable) -> Callable:
                 continue
             held.append(b)
             size += b.nbytes
-            if size < BLOCK_BYTES // 2:
+            if size < SHARD_BYTES:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             key = t["key"].to_numpy()
