@@ -74,9 +74,9 @@ def convert_grid(grid: DataFrame, mode: str = "offline", options: extraction.Opt
 
 
 def convert(spark: SparkSession, paths: str | list[str], mode: str = "offline", options: extraction.Options | None = None, name_style: str = "composite", default_currency: str = "UZS", keep: Callable | None = None) -> Conversion:
-    """SVC4: the statements under ``paths``. keep stores a table between its readers; unset: a reliable checkpoint if the session has a folder for them, else nothing."""
+    """SVC4: the statements under ``paths``. keep stores a table between its readers; unset: a checkpoint if the session has a folder for them, else persist."""
     if keep is None:
-        keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d)
+        keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     return convert_grid(keep(files.read_statements(spark, paths)), mode, options, name_style, default_currency, keep)
 
 
