@@ -55,7 +55,7 @@ STAGES = [
     ("mixing sources to target weights", mixing),
     ("BPE encoding and decoding", encoding),
 ]
-#: Language ID, suffix arrays and BPE have no SQL form; tests/llm compares the operators that the stages call with brute force.
+#: Language ID, suffix arrays and BPE have no SQL form; tests/llm/test_pipeline_stages.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 
