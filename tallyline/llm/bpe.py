@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.tables import of_worker
+from tallyline.llm.tables import give_back, of_worker
 
 NONE = np.int64(1) << 62
 #: Bits of a leaf that say where its pair is; a word of 2**40 bytes fits in no machine.
@@ -262,5 +262,6 @@ def bpe(documents: DataFrame, path: str) -> DataFrame:
                 cols = [c.slice(at, n) for c in b.columns]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.binary()).cast(pa.string())], names=[*b.schema.names, "n_tokens", "ids", "decoded"])
                 at += n
+        give_back()
 
     return documents.select(kept).withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)

@@ -13,14 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import of_worker, written
+from tallyline.llm.tables import give_back, of_worker, written
 
 #: Letters of a batch of words (a longer word is a batch of its own), and columns after which sums are brought near 1.
 LETTERS, RENEW = 1 << 16, 16
@@ -224,7 +223,9 @@ def train(labelled: DataFrame, path: str, documents_each: int = 300) -> Model:
     sample is not learned. A language's sample is fitted in one task, languages beside each other.
     """
 
-    def learn(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+    def learn(key, texts):
+        import pandas as pd  # here, so that workers that only identify do not load it
+
         counts = Counter(w for t in texts["text"] for w in words(t))
         rows = [(key[0], fit(lattice_of(path), counts).astype("<f8").tobytes())] if counts else []
         return pd.DataFrame(rows, columns=["lang", "prob"], dtype=object)
@@ -273,5 +274,6 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                     langs.append(m.langs[best])
                     scores.append(float(1 / np.exp(score - score[best]).sum()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import keyed, others, schema_of, written
+from tallyline.llm.tables import give_back, keyed, others, schema_of, written
 
 ANCHOR, HOT, WINDOW, SPAN, FRAGMENT = range(5)
 ROW = "key long, kind byte, alike long, doc long, pos int, size int, frag binary"
@@ -194,6 +194,8 @@ def blocks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = B
                 have, size = [[] for _ in columns], 0
     if have[0]:
         yield have
+    have.clear()
+    give_back()
 
 
 def known(ids: list, raw: list) -> tuple[np.ndarray, list]:
@@ -269,6 +271,8 @@ def settler(u: Units, compare: Callable) -> Callable:
             held, size = t.to_batches(), t.nbytes
         if held:
             yield from settle(pa.Table.from_batches(held).combine_chunks())
+        held = []
+        give_back()
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -38,13 +40,24 @@ def written(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
 _HELD: dict[str, tuple] = {}
 
 
+def give_back() -> None:
+    """Returns free memory of a Python worker to the machine at the end of a task; the allocator would keep it for the next one."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def of_worker(name: str, version, make: Callable, keep: str = "") -> object:
     """A value that tasks of one operator share in a worker; all others but the one named ``keep`` are dropped.
 
     A worker outlives its stage, so what one operator has gathered would otherwise still be there under the next one.
     """
-    for other in [x for x in _HELD if x not in (name, keep)]:
-        del _HELD[other]
+    if gone := [x for x in _HELD if x not in (name, keep)]:
+        for other in gone:
+            del _HELD[other]
+        gc.collect()
+        give_back()
     if name not in _HELD or _HELD[name][0] != version:
         _HELD[name] = (version, make())
     return _HELD[name][1]
