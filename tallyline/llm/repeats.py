@@ -72,13 +72,19 @@ def anchors(values: np.ndarray, first: np.ndarray, last: np.ndarray, u: Units) -
         return empty, empty.astype(np.uint64), empty, empty, empty
     grams = T.gram_hashes(values, u.gram)
     low = T.U64(0xFFFFFFFF)
-    least = T.sliding((grams & ~low) | np.arange(len(grams), dtype=np.uint64), u.length - u.gram + 1, np.minimum)
-    doc = np.repeat(np.arange(len(first)), sizes)
+    ranked = grams & ~low
+    ranked |= np.arange(len(grams), dtype=np.uint64)
+    ranked = T.sliding(ranked, u.length - u.gram + 1, np.minimum)
+    ranked &= low
+    at = ranked.astype(np.uint32)
+    del ranked
+    doc = np.repeat(np.arange(len(first), dtype=np.uint32), sizes)
     starts = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-    pos = (least[starts] & low).astype(np.int64)
+    pos = at[starts]
     new = np.flatnonzero(np.concatenate(([True], (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1]))))
     end = np.concatenate((new[1:], [len(pos)])) - 1
-    return pos[new], grams[pos[new]], doc[new], starts[new], starts[end]
+    pos, doc, lo, hi = pos[new].astype(np.int64), doc[new].astype(np.int64), starts[new], starts[end]
+    return pos, grams[pos], doc, lo, hi
 
 
 def batch(key, kind, alike, doc, pos, size, frag=None) -> pa.RecordBatch:
