@@ -105,8 +105,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyline.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_topk, op5_mixing, op6_jaccard_join, op7_lsh_forest, op8_language_id, op9_suffix_dedup, op10_bpe)
+    f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_topk, op5_mixing, op6_jaccard_join, op7_lsh_forest, op8_language_id, op9_suffix_dedup, op10_bpe, op11_ranked_search, op12_exact_dedup, op13_conversation_trie)
 }
 
 def _license_sql() -> str:
@@ -186,5 +204,58 @@ WITH v AS (
   FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), k AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0
+), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM k
+), p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM k) GROUP BY 1, 2
+), i AS (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM i) GROUP BY 1), c
+), x AS (
+  SELECT p.r, k.doc_id, p.term, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * k.n * docs) // terms))) AS points
+  FROM p JOIN w USING (term) JOIN k USING (r), c
+), s AS (SELECT item_id, r, doc_id, CAST(sum(points) AS BIGINT) AS score FROM x JOIN i USING (term) GROUP BY 1, 2, 3 HAVING sum(points) > 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50
+""",
+    "op12_exact_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+""",
+    "op13_conversation_trie": r"""
+WITH o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), g AS (
+  SELECT c, turn, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS digest, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM o
+), t AS (SELECT c, digest, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS i FROM g
+), v AS (
+  SELECT c, c - c % 20 AS b, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, y: list_reduce(list_concat([xor(s, y)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda z, e: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT v.c, t.i, t.digest, t.words FROM v JOIN t ON t.c = v.b AND t.i <= v.h
+  UNION ALL SELECT v.c, t.i, t.digest, t.words FROM v JOIN t ON t.c = v.c AND t.i > v.h
+), q AS (SELECT c, digest, words, row_number() OVER (PARTITION BY c ORDER BY i) AS depth FROM r
+), p AS (
+  SELECT c, depth, words, string_agg(digest, ',') OVER (PARTITION BY c ORDER BY depth) AS node FROM q
+  UNION ALL SELECT c, 0, 0, '' FROM v
+), n AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY 1, 2
+), u AS (SELECT n.*, p.node AS parent FROM n LEFT JOIN p ON p.c = n.conv_id AND p.depth = n.depth - 1
+), k AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY 1
+), a AS (
+  SELECT p.node, count(*) FILTER (k.node IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+  FROM n LEFT JOIN k USING (node) JOIN p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY 1
+), e AS (
+  SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM p JOIN (SELECT c, max(depth) AS depth FROM p GROUP BY 1) USING (c, depth) GROUP BY 1
+)
+SELECT u.conv_id, u.depth, m.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves, a.saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM u LEFT JOIN n m ON m.node = u.parent LEFT JOIN k ON k.node = u.node JOIN a ON a.node = u.node LEFT JOIN e ON e.node = u.node
 """,
 }

@@ -27,10 +27,10 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op3_url_filter", "op4_exact_topk", "op5_mixing"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_url_filter", "op4_exact_topk", "op5_mixing", "op11_ranked_search", "op12_exact_dedup", "op13_conversation_trie"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     rel = con.sql(queries.ORACLE_SQL[name])
