@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.tables import give_back, of_worker
+from tallyline.llm.tables import give_back, of_worker, others, schema_of
 
 NONE = np.int64(1) << 62
 #: Bits of a leaf that say where its pair is; a word of 2**40 bytes fits in no machine.
@@ -241,10 +241,12 @@ def bpe(documents: DataFrame, path: str) -> DataFrame:
 
     path: a vocabulary file of the tokenizers library (BPE with word ends) that every executor has. Whole texts are
     encoded; null is as the empty text: no ids, empty decoded. Rows are independent, so repeated rows, null ids and
-    other columns are kept as they are. An empty table gives an empty result.
+    other columns are kept as they are; those named like a result, in whatever case, are replaced. An empty table gives
+    an empty result.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name not in ("n_tokens", "ids", "decoded")) + ", n_tokens long, ids binary, decoded string"
-    kept = [c for c in documents.columns if c not in ("n_tokens", "ids", "decoded")]
+    kept = others(documents, "n_tokens", "ids", "decoded")
+    docs = documents.select([F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
+    schema = schema_of(docs, docs.columns) + ", n_tokens long, ids binary, decoded string"
 
     def run(batches):
         e = encoder(path)
@@ -264,4 +266,4 @@ def bpe(documents: DataFrame, path: str) -> DataFrame:
                 at += n
         give_back()
 
-    return documents.select(kept).withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -298,13 +298,18 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 75) -> DataF
     """
     docs, names = keyed(documents)
     stay = written(grouped(docs, size, percent).where("component_id = doc").select("doc").distinct())
-    rows = documents.where("doc_id IS NOT NULL")
+    # The columns of documents have names of their own until the end, so that none can clash.
+    own = {c.lower(): f"own_{i}" for i, c in enumerate(documents.columns)}
+    renamed = documents.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(documents.columns)])
+    key, text = F.col(own["doc_id"]).cast("long"), F.coalesce(F.col(own["text"]).cast("string"), F.lit(""))
+    rows = renamed.where(key.isNotNull()).withColumn("doc_id", key)
     if names is None:
         rows = rows.join(stay.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
     else:
-        wanted = stay.join(names, "doc").select("doc_id", F.col("digest").alias("text_digest"))
-        rows = rows.withColumn("text_digest", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(wanted, ["doc_id", "text_digest"], "left_semi").drop("text_digest")
-    rest = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("doc_id", "text")]
-    first = Window.partitionBy("doc_id").orderBy(*(rest or [F.lit(1)]))
-    rows = rows.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").drop("row_of_id")
-    return rows.select(*documents.columns).union(documents.where("doc_id IS NULL"))
+        rows = rows.withColumn("digest", F.xxhash64(text)).join(stay.join(names, "doc").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    rest = [F.col(own[c]) for c in own if c not in ("doc_id", "text")]
+    document = ["doc_id"] if names is None else ["doc_id", "digest"]
+    first = Window.partitionBy(*document).orderBy(*(rest or [F.lit(1)]))
+    rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+    columns = [F.col(f"own_{i}").alias(c) for i, c in enumerate(documents.columns)]
+    return rows.select(*columns).union(renamed.where(key.isNull()).select(*columns))

@@ -61,7 +61,9 @@ def mix(documents: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (
     """
     own = others(documents, "size", "source_size", "target", "taken")
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    digests = [F.xxhash64(key, "source", text).alias("digest_a"), F.xxhash64(F.lit(1), text, "source", key).alias("digest_b")]
+    # A hash passes over nulls, so which columns are null is part of the digests.
+    nulls = F.when(key.isNull(), 1).otherwise(0) + F.when(F.col("source").isNull(), 2).otherwise(0) + F.when(text.isNull(), 4).otherwise(0)
+    digests = [F.xxhash64(nulls, key, "source", text).alias("digest_a"), F.xxhash64(F.lit(1), text, "source", key, nulls).alias("digest_b")]
     draw_of = F.md5(F.concat(F.coalesce(key.cast("string"), text, F.lit("")), F.lit(f":{seed}")))
     draw = F.conv(F.substring(draw_of, 1, 13), 16, 10).cast("long")
     narrow = written(documents.select(key.alias("doc_id"), F.col("source").alias("source"), word_count(text).alias("size"), draw.alias("draw"), *digests))
@@ -90,10 +92,14 @@ def mix(documents: DataFrame, quality: DataFrame, weights: tuple[float, ...] = (
     part = F.greatest(F.lit(0), F.least(F.col("all_size"), rest - F.col("ahead") - F.col("offset")))
     taken = (epochs * F.col("size") + F.floor(part / F.col("copies"))).cast("long")
     results = ("size", "source_size", "target", "taken")
-    found = written(placed.withColumn("taken", taken).select(*same, *results), drop=(narrow, goals))
+    found = placed.withColumn("taken", taken).select(*same, F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), *results)
+    found = written(found, drop=(narrow, goals))
     # The columns of documents have names of their own until the end, so that none can clash.
-    docs = documents.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], *digests)
-    return docs.join(found, list(same)).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], *results)
+    docs = documents.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], *[d.alias(f"own_{n}") for n, d in zip(same, digests, strict=True)])
+    number = {c.lower(): f"own_{i}" for i, c in enumerate(own)}
+    alike = [F.col(f"own_{n}") == F.col(n) for n in same]
+    alike += [F.col(number["doc_id"]).cast("long").eqNullSafe(F.col("of_id")), F.col(number["source"]).eqNullSafe(F.col("of_source"))]
+    return docs.join(found, alike).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], *results)
 
 
 def taken_text(mixed: DataFrame) -> DataFrame:

@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.llm import url_filter as U
+from tallyline.llm.bpe import bpe
+from tallyline.llm.jaccard_join import one_of_each
+from tallyline.llm.language_id import identify, train
 from tallyline.llm.license_scan import license_scan
 from tallyline.llm.mixing import mix, taken_text
+from tallyline.llm.queries import vocabulary
 
 
 def test_mix_and_taken_text(spark):
@@ -37,3 +41,31 @@ def test_license_scan(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, span int, w int")
     assert [(r.doc_id, r.license) for r in license_scan(df).collect()] == [(1, "MIT")]
     assert license_scan(df.limit(0)).collect() == []
+
+
+def test_mix_nulls_are_told_apart(spark):
+    """Rows that are equal but for which of their columns is null."""
+    rows = [(1, None, "a b c"), (1, "a b c", None), (2, "s", "w " * 10), (None, "s", "1"), (None, None, "s"), (None, "s", None), (3, None, None), (3, None, None)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert sorted(((r.doc_id, r.source, r.text) for r in out), key=repr) == sorted(rows, key=repr)
+    assert all(r["size"] == len((r.text or "").split()) for r in out)
+
+
+def test_bpe_and_language_columns(spark):
+    rows = [(1, "hello there", 5, 6, "x", "y", 0.5), (1, None, 5, 6, "x", "y", 0.5), (2, "word " * 100_000, 5, 6, "x", "y", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, IDS int, N_tokens int, Decoded string, Lang_pred string, LANG_SCORE double")
+    out = bpe(df, vocabulary("word_bpe_49k.json"))
+    assert out.columns == ["doc_id", "text", "Lang_pred", "LANG_SCORE", "n_tokens", "ids", "decoded"]
+    assert sorted(r.n_tokens for r in out.collect())[0] == 0
+    labelled = spark.createDataFrame([("hello there you", "en"), ("bonjour tout le monde", "fr")], "text string, lang string")
+    out = identify(df, train(labelled, vocabulary("piece_bpe_32k.model")))
+    assert out.columns == ["doc_id", "text", "IDS", "N_tokens", "Decoded", "lang_pred", "lang_score"]
+    assert sorted(r.lang_pred for r in out.collect())[-1] == "und"
+
+
+def test_one_of_each_columns(spark):
+    rows = [(1, "one two three", "t", 9), (1, "other text here", "t", 9), (2, "one two three", "t", 9), (None, "one two three", "t", 9), (3, "one two three", "u", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_digest string, row_of_id int").withColumn("digest", F.lit(1)).withColumn("place", F.lit(2))
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "one two three"), (1, "other text here"), (None, "one two three")], key=repr)
