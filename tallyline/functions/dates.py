@@ -11,27 +11,31 @@ FIELDS = "$4$5|$3$7|$1$8|$9|$10|$11|$2Y$6"
 DATE, TIME = r"(?U)\b(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})\b", r"(?U)\b(\d{1,2}:\d{2}(?::\d{2})?)\b"
 
 
-def _whole(s: Column) -> Column:
-    """The time that the whole text is, in one match; null if it is none."""
-
-    def made(p: Column) -> Column:
-        at = lambda i: F.get(p, F.lit(i))
-        number = lambda i: F.coalesce(at(i).try_cast("int"), F.lit(0))
-        short, clock, seconds = F.length(at(0)) == 2, at(3) != "", at(5) != ""
-        fits = F.when(at(6) == ".Y", True).when(at(6) == "/Y", ~short & (~clock | seconds)).when(at(6) == "-Y", ~short & ~clock).when(at(6) == "Y-", True).otherwise(~clock)
-        # Two-digit years from 69 on are of the last century.
-        year = number(0) + F.when(short, F.when(number(0) >= 69, 1900).otherwise(2000)).otherwise(0)
-        return F.when((F.size(p) == 7) & fits, F.try_make_timestamp_ntz(year, number(1), number(2), number(3), number(4), number(5).cast("decimal(16,6)")))
-
-    return F.get(F.transform(F.array(F.split(F.regexp_replace(s, WHOLE, FIELDS), r"\|")), made), F.lit(0))
+def _made(p: Column) -> Column:
+    """The time of the fields of one match; null if they are none."""
+    at = lambda i: F.get(p, F.lit(i))
+    part = F.transform(F.slice(p, 1, 6), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    mark, short, clock, seconds = at(6), F.length(at(0)) == 2, at(3) != "", at(5) != ""
+    fits = F.when(mark.isin(".Y", "Y-"), True).when(mark == "/Y", ~short & (~clock | seconds)).when(mark == "-Y", ~short & ~clock).otherwise(~clock)
+    # Two-digit years from 69 on are of the last century.
+    whole = lambda n: F.when(short, n[0] + F.when(n[0] >= 69, 1900).otherwise(2000)).otherwise(n[0])
+    made = F.get(F.transform(F.array(part), lambda n: F.try_make_timestamp_ntz(whole(n), n[1], n[2], n[3], n[4], n[5].cast("decimal(16,6)"))), F.lit(0))
+    return F.when((F.size(p) == 7) & fits, made)
 
 
 def parse_datetime(raw: Column) -> Column:
     """The whole text in one of FORMS; else its first date (with its first time, or alone). Null where nothing fits.
     Day numbers of spreadsheets are ``parse_serial``'s."""
     s = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
-    date, time = F.regexp_extract(s, DATE, 1), F.regexp_extract(s, TIME, 1)
-    return F.coalesce(_whole(s), F.when(date != "", F.coalesce(F.when(time != "", _whole(F.concat_ws(" ", date, time))), _whole(date))))
+
+    def tried(x: Column) -> Column:
+        date, time = F.regexp_extract(x, DATE, 1), F.regexp_extract(x, TIME, 1)
+        alone = F.when((date != "") & (date != x), date)
+        return F.array_compact(F.array(x, F.when(time != "", F.concat_ws(" ", alone, time)), alone))
+
+    forms = F.flatten(F.transform(F.array(s), tried))
+    times = F.transform(forms, lambda x: F.get(F.transform(F.array(F.split(F.regexp_replace(x, WHOLE, FIELDS), r"\|")), _made), F.lit(0)))
+    return F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0))
 
 
 def looks_like_date(raw: Column) -> Column:

@@ -37,9 +37,20 @@ def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
 COMPAT_FROM, COMPAT_TO, COMPAT_PARTS = _compatible()
 
 
+def quoted(text: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constants(rows: Iterable[str] | Iterable[tuple[str, ...]], *names: str) -> Column:
+    """An array of fixed texts, or of structs of them if there are names, as one expression: a Column for each word would cost a call of the JVM each."""
+    struct = lambda r: "named_struct(" + ", ".join(f"'{n}', {quoted(v)}" for n, v in zip(names, r, strict=True)) + ")"
+    return F.expr("array(" + ", ".join(struct(r) if names else quoted(r) for r in rows) + ")")
+
+
 def compatible(text: Column) -> Column:
     """NFKC, as far as labels need it. Plain texts are left alone after one look."""
-    parts = F.aggregate(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in COMPAT_PARTS]), F.translate(text, COMPAT_FROM, COMPAT_TO), lambda s, p: F.replace(s, p["a"], p["b"]))
+    parts = F.aggregate(constants(COMPAT_PARTS, "a", "b"), F.translate(text, COMPAT_FROM, COMPAT_TO), lambda s, p: F.replace(s, p["a"], p["b"]))
     return F.when(text.rlike(r"[\u00A0-\u00BE\u02B0-\u036F\u2000-\u33FF\uF900-\uFFFF]"), parts).otherwise(text)
 
 
@@ -64,21 +75,30 @@ def _folded(words: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(w for w in folded if w))
 
 
+#: Folded words of the vocabulary with their roles, in order: those that a label equals, and those that it has as a part.
+EXACT = [(w, r) for r, e, _ in ROLES for w in _folded(e)]
+PARTS = [(w, r) for r, _, p in ROLES for w in _folded(p)]
+
+
 def match_role(label: Column) -> Column:
     """The role of a column label, or null: exact labels of all roles in order, then parts of labels in order."""
-    return role_of(fold_homoglyphs(normalize_label(label)))
+    return F.get(F.transform(F.array(fold_homoglyphs(normalize_label(label))), role_of), F.lit(0))
 
 
 def role_of(s: Column) -> Column:
-    """match_role of a label that is normalized and folded already (in a lambda, so that this happens once)."""
-    exact = [F.when(s.isin(_folded(e)), F.lit(r)) for r, e, _ in ROLES if _folded(e)]
-    part = [F.when(_any(s, _folded(p), Column.contains), F.lit(r)) for r, _, p in ROLES if _folded(p)]
-    return F.when((s != "") & (F.length(s) <= 90), F.coalesce(*exact, *part))
+    """match_role of a label that is normalized and folded already (a column or in a lambda, so that this happens once)."""
+    exact = F.get(F.filter(constants(EXACT, "word", "role"), lambda w: w["word"] == s), F.lit(0))["role"]
+    return F.when((s != "") & (F.length(s) <= 90), F.coalesce(exact, part_of(s)))
+
+
+def part_of(s: Column) -> Column:
+    """The role of the first word that is a part of a folded label."""
+    return F.get(F.filter(constants(PARTS, "word", "role"), lambda w: F.contains(s, w["word"])), F.lit(0))["role"]
 
 
 def _any(s: Column, words: list[str], test) -> Column:
     """Any word passes the test; the text is worked out once, and the words are one constant."""
-    return F.exists(F.array(s), lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: test(x, w)))
+    return F.exists(F.array(s), lambda x: F.exists(constants(words), lambda w: test(x, w)))
 
 
 def markers(kind: str) -> list[str]:

@@ -47,9 +47,13 @@ class Options:
 
 def rendered(row: Column, cells: Column) -> Column:
     """TXT12, ORD8: the row's number and its cells between tabs, without empty ones at the end; long cells are cut. Null for a blank row."""
-    short = F.transform(cells, lambda c: F.when(F.length(fn.clean_text(c)) > LETTERS, F.concat(F.substring(fn.clean_text(c), 1, LETTERS), F.lit("…"))).otherwise(fn.clean_text(c)))
-    last = F.array_max(F.transform(short, lambda c, i: F.when(c != "", i + 1)))
-    return F.when(last.isNotNull(), F.concat(row.cast("string"), F.lit("\t"), F.array_join(F.slice(short, F.lit(1), last), "\t")))
+    short = F.transform(F.transform(cells, fn.clean_text), lambda c: F.when(F.length(c) > LETTERS, F.concat(F.substring(c, 1, LETTERS), F.lit("…"))).otherwise(c))
+
+    def line(x: Column) -> Column:
+        last = F.array_max(F.transform(x, lambda c, i: F.when(c != "", i + 1)))
+        return F.when(last.isNotNull(), F.concat(row.cast("string"), F.lit("\t"), F.array_join(F.slice(x, F.lit(1), last), "\t")))
+
+    return F.get(F.transform(F.array(short), line), F.lit(0))
 
 
 def decimal_or_none(text: Column) -> Column:

@@ -37,8 +37,8 @@ def mode(model: Column, name: Column, engine: Column) -> Column:
 
 
 def auto_mode(file: Column, n_bytes: Column, extractor: Column, by_ending: bool = True) -> Column:
-    """SVC8: the mode that auto stands for. Without an extractor all is offline; by_ending: csv and html always are."""
-    name = F.lower(F.coalesce(file, F.lit("")))
+    """SVC8: the mode that auto stands for, by the last part of the path and the bytes of the file. Without an extractor all is offline; by_ending: csv and html always are."""
+    name = F.lower(F.regexp_extract(F.coalesce(file, F.lit("")), r"([^/\\]*)$", 1))
     holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
     plain = F.exists(F.array(*map(F.lit, SIMPLE_ENDINGS)), lambda e: F.endswith(name, e)) if by_ending else F.lit(False)
     hard = F.floor(n_bytes / 1024) >= HARD_KIB

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline import functions as fn
-from tallyline.operators import ledger, rows, sinks, statements
+from tallyline.operators import labels, ledger, rows, sinks, statements
 from tallyline.streaming import monitor
 
 QUERIES: dict = {}
@@ -60,11 +60,26 @@ _MADE: dict = {}
 
 
 def once(spark: SparkSession, sf_dir: str, make):
-    """make(spark, sf_dir, keep), kept for other queries of the session that need the same parse."""
-    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    """make(spark, sf_dir, keep), kept for the next queries of the session that need the same parse.
+
+    One parse is kept at a time: another one, or other files under the same path, releases what it stored. Plans that
+    still read a released table work it out again.
+    """
+    files = [table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect() for t in ("orders", "customer")]
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__, str(sorted(map(tuple, sum(files, [])))))
     if key not in _MADE:
-        _MADE[key] = make(spark, sf_dir, lambda d: d.persist())
-    return _MADE[key]
+        for _, stored in _MADE.values():
+            for d in stored:
+                d.unpersist()
+        _MADE.clear()
+        stored: list[DataFrame] = []
+
+        def keep(d: DataFrame) -> DataFrame:
+            stored.append(d.persist())
+            return stored[-1]
+
+        _MADE[key] = (make(spark, sf_dir, keep), stored)
+    return _MADE[key][0]
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -203,10 +218,16 @@ def counterparty_forms(spark, sf_dir):
     return s.select("s_suppkey", "c.account", "c.inn", "c.bank_code", "c.name", fn.compose_name(F.lit(""), F.col("c.name"), F.col("c.inn")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES (0, 'date'), (1, 'doc_number'), (2, 'debit'), (3, 'credit'), (4, 'corr_account'), (5, 'corr_name'), (6, 'mfo'), (7, 'purpose'), (8, 'inn'), (9, NULL), (10, 'debit'), (11, 'doc_number')) t(id, role)")
+ROLE_LABELS = (("Дата", "date"), ("№ док", "doc_number"), ("Оборот  ДЕБЕТ", "debit"), ("Кредит", "credit"), ("Счёт корреспондента", "corr_account"), ("Наименование контрагента", "corr_name"), ("МФО банка", "mfo"), ("To'lov tafsilotlari", "purpose"), ("ИНН", "inn"), ("просто текст", None), ("СУММА ДЕБЕТА", "debit"), ("N документа", "doc_number"), ("  12 345,00 ", None))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 14 " + " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(ROLE_LABELS) if r) + " END AS role FROM part")
 def role_match(spark, sf_dir):
-    labels = ("Дата", "№ док", "Оборот  ДЕБЕТ", "Кредит", "Счёт корреспондента", "Наименование контрагента", "МФО банка", "To'lov tafsilotlari", "ИНН", "просто текст", "Cумма дебета", "Дата док")
-    return spark.createDataFrame(list(enumerate(labels)), "id int, label string").select("id", fn.match_role(F.col("label")).alias("role"))
+    """TXT5, JON4: labels that come again and again, and texts that come once (names), by a dictionary of the distinct ones."""
+    k = (F.col("p_partkey") % (len(ROLE_LABELS) + 1)).cast("int")
+    text = F.coalesce(F.get(F.array(*[F.lit(x) for x, _ in ROLE_LABELS]), k), F.concat(F.lit("Q "), "p_brand"))
+    t = table(spark, sf_dir, "part").select("p_partkey", fn.clean_text(text).alias("text"))
+    return labels.role_of_texts(t, labels.dictionary(t)).select("p_partkey", "role")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ipoteka' WHEN 1 THEN 'davrbank' ELSE 'unknown' END AS bank, regexp_replace(p_brand, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe FROM part""")
@@ -359,7 +380,7 @@ def sheets(spark, sf_dir):
 '20208000' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS counterparty_account, o_orderpriority AS payment_purpose, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 2 AS INTEGER) AS source_row FROM orders""")
 def statement_transactions(spark, sf_dir):
     """Orders written as statements and parsed back."""
-    t = statements.transactions(statements.sectioned(sheets(spark, sf_dir)))
+    t = statements.transactions(statements.sectioned(statements.labelled(sheets(spark, sf_dir))))
     return plain(t.select("file", "transaction_date", "document_number", "debit_amount", "credit_amount", "counterparty_account", "payment_purpose", "source_row"))
 
 

@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from decimal import Decimal
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -295,6 +296,14 @@ def read_statements(spark: SparkSession, path: str | list[str], suffix: str = "*
     return parsed(raw.select(F.col("path").alias("file"), "content"))
 
 
+def listing(spark: SparkSession, path: str | list[str], suffix: str = "*") -> DataFrame:
+    """file, length of every file under ``path``; contents are not read. A scan passes over files without a byte, so names come from its file index."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path)
+    names = [(re.sub(r"^([A-Za-z0-9+.\-]+):///", r"\1:/", unquote(p)),) for p in raw.inputFiles()]
+    held = raw.select(F.col("path").alias("file"), "length")
+    return spark.createDataFrame(names, "file string").join(held, "file", "left").select("file", F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """The same for a table with ``file`` and ``content``."""
     return files.select("file", "content", sniff(F.col("content"), F.col("file")).alias("kind")).mapInArrow(_rows, SCHEMA)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline import engine
 from tallyline.__main__ import arguments, main, options
@@ -24,6 +25,31 @@ def folder(tmp_path_factory):
     return f
 
 
+def test_a_row_for_every_file(spark, tmp_path, monkeypatch):
+    """Files without a row are answered too: empty, of blank lines, a page without a table, one that is too large."""
+    write(tmp_path / "in", "good.csv", ROW)
+    for name, data in (("empty.csv", b""), ("blank.csv", b"\n\n \n"), ("page.html", b"<html><p>no table</p></html>"), ("zero.xlsx", b"")):
+        (tmp_path / "in" / name).write_bytes(data)
+    with open(tmp_path / "in" / "large.csv", "wb") as f:
+        f.truncate(33 * 1024 * 1024)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
+    c = engine.convert(spark, str(tmp_path / "in"))
+    got = {r.file.rsplit("/", 1)[-1]: (r.status, r.payload is not None) for r in c.results().collect()}
+    assert got == {"good.csv": (200, True), "empty.csv": (400, False), "blank.csv": (422, False), "page.html": (422, False), "zero.xlsx": (400, False), "large.csv": (413, False)}
+    assert c.stored and all(d.is_cached for d in c.stored)
+    kept = list(c.stored)
+    c.release()
+    assert not any(d.is_cached for d in kept)
+
+
+def test_auto_looks_at_names_and_bytes(spark):
+    from tallyline.operators import service
+
+    rows = [("file:/data/reports/st.xlsx", 10, "offline"), ("file:/data/a/report.xlsx", 10, "ai"), ("C:\\block\\a.xlsx", 10, "offline"), ("/multi/a.csv", 10**9, "offline"), ("/a/b.xlsx", 256 * 1024, "ai"), ("/a/b.xlsx", 256 * 1024 - 1, "offline"), ("/dbo/xalq_report.xls", 10**9, "offline"), (None, 1, "offline")]
+    df = spark.createDataFrame(rows, "file string, n long, want string")
+    assert df.where(service.auto_mode(F.col("file"), F.col("n"), F.lit(True)) != F.col("want")).collect() == []
+
+
 @pytest.fixture(scope="module")
 def conversion(spark, folder):
     c = engine.convert(spark, [str(folder / "a"), str(folder / "b")])
