@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline import functions as fn
+from tallyline.operators import answers as sent
 from tallyline.operators import ledger, rows
 
 SHEET = ("file", "sheet")
@@ -33,6 +34,9 @@ class Options:
     """LLM1. ask(kind, body, most): kind is accounts or transactions, most a bound on the answer; gives (why it stopped, answer).
 
     It runs in tasks, so it must be importable there. An exception that it raises becomes the request's error.
+
+    answers: the folder of a table of answers, by which a request is sent once, also in another run (see ``answers``),
+    and tried up to ``tries`` times; empty: requests are sent whenever their plan is worked out, and once each time.
     """
 
     ask: Callable[[str, str, int], tuple[str, str]]
@@ -43,6 +47,9 @@ class Options:
     default_currency: str = "UZS"
     verify: bool = True
     instructions: str = ""
+    answers: str = ""
+    tries: int = 3
+    per_task: int = 4
 
 
 def rendered(row: Column, cells: Column) -> Column:
@@ -64,6 +71,10 @@ def decimal_or_none(text: Column) -> Column:
 def asked(requests: DataFrame, kind: str, most: int, o: Options) -> DataFrame:
     """LLM5: requests (any columns, body) with answer (text) and error: what the model or its transport said, cut off, refused, empty or not readable."""
     kept = [c for c in requests.columns if c not in ("answer", "error", "stopped")]
+    if o.answers:
+        keyed = requests.select(*kept).withColumn("digest", sent.digest_of(kind, most, F.col("body")))
+        answered = sent.send(keyed.select("digest", "body"), o.ask, kind, most, o.answers, o.tries, o.per_task)
+        return read_answers(keyed.join(answered, "digest", "left").drop("digest"), kind)
     ask = o.ask
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,8 +89,12 @@ def asked(requests: DataFrame, kind: str, most: int, o: Options) -> DataFrame:
             yield f
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields if f.name in kept) + ", stopped string, answer string, error string"
-    shape = ACCOUNTS if kind == "accounts" else TRANSACTIONS
-    told = requests.select(*kept).mapInPandas(run, schema).withColumn("read", F.from_json("answer", shape))
+    return read_answers(requests.select(*kept).mapInPandas(run, schema), kind)
+
+
+def read_answers(told: DataFrame, kind: str) -> DataFrame:
+    """Answers (stopped, answer, error) as ``found``, or why there is nothing in them as ``error``."""
+    told = told.withColumn("read", F.from_json("answer", ACCOUNTS if kind == "accounts" else TRANSACTIONS))
     lists = F.col("read.accounts" if kind == "accounts" else "read.transactions")
     error = (
         F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("stopped") == "max_tokens", "the answer was cut off").when(F.col("stopped") == "refusal", "the model refused")

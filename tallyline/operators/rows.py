@@ -40,6 +40,20 @@ def next_bound(df: DataFrame, sheet: list[str], row: str, end: Column) -> DataFr
     return df.withColumn("next_row", F.coalesce(F.lead(row).over(Window.partitionBy(*sheet).orderBy(row)), end))
 
 
+def swept(rows: DataFrame, bounds: DataFrame, key: list[str], at: str, tie: str, name: str) -> DataFrame:
+    """JON3: rows with ``name``: of the bounds of their key, the last one at or before them; null before the first.
+
+    bounds: key, at, tie, name. Of bounds at one place the one with the largest tie counts. Rows and bounds pass in one
+    order for each key (a sort that spills, read once), so it costs the same whether a key has two bounds or a million,
+    and no row meets a bound that is not its own. Rows with a null place come before all bounds.
+    """
+    first = bounds.select(*key, at, F.col(tie).alias("tie"), F.col(name).alias("bound"), F.lit(0).alias("kind"))
+    own = rows.select(*key, at, F.lit(None).cast(first.schema["tie"].dataType).alias("tie"), F.lit(None).cast(first.schema["bound"].dataType).alias("bound"), F.lit(1).alias("kind"), F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
+    order = Window.partitionBy(*key).orderBy(F.asc_nulls_first(at), "kind", F.asc_nulls_first("tie")).rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(first.where(F.col(at).isNotNull()), allowMissingColumns=True).withColumn("bound", F.last("bound", True).over(order))
+    return both.where("kind = 1").select("row.*", F.col("bound").alias(name))
+
+
 def layout(total: Column, with_amount: Column) -> Column:
     """STR5"""
     return F.when(with_amount * 16 < total * 10, "block").otherwise("row")

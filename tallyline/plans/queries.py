@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def account(key: Column, nation: Column) -> Column:
     cur = F.when(nation % 3 == 0, "000").when(nation % 3 == 1, "840").otherwise("978")
     return F.concat(F.lit("20208"), cur, F.lit("1"), F.lpad(key.cast("string"), 8, "0"), F.lit("001"))
@@ -271,11 +276,10 @@ def section_bounds(spark, sf_dir):
 
 @query("WITH s AS (SELECT user_id, ts AS since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until, event_id AS section FROM events WHERE event_type = 'signup') SELECT section, count(*) AS n FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= since AND (until IS NULL OR e.ts < until) GROUP BY 1")
 def section_range_join(spark, sf_dir):
-    """JON3: rows to intervals: equi-join on the sheet, range as a condition."""
+    """JON3: events to the stretch of their user that a signup opens, by one sweep."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.lead("ts").over(w).alias("until"), F.col("event_id").alias("section"))
-    return e.join(s, "user_id").where("ts >= since AND (until IS NULL OR ts < until)").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    opens = e.where("event_type = 'signup'").select("user_id", "ts", "event_id", F.col("event_id").alias("section"))
+    return rows.swept(e, opens, ["user_id"], "ts", "event_id", "section").where("section IS NOT NULL").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') * 16 < count(*) * 10 THEN 'block' ELSE 'row' END AS layout FROM conversations GROUP BY 1")

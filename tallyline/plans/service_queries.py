@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyline.operators import service
-from tallyline.plans.queries import DAYS, query, table
+from tallyline.plans.queries import DAYS, query, shared, table
 from tallyline.streaming import monitor
 
 ALIASES = ("ai", "model-ai", " Offline", "model_offline", "AUTO", "rules", "other", "")
@@ -87,11 +87,13 @@ def metrics_and_status(spark, sf_dir):
     return m.select(F.col("today.total").alias("today"), F.col("totals.total").alias("all_days"), F.size("days").alias("n_days"), service.status_text(F.col("today"), F.lit(True)).alias("up"), service.status_text(none, F.lit(False)).alias("down"))
 
 
-@query("""SELECT unnest(['.xlsx', '.xlsm', '.xls', '.xls (HTML)', '.htm', '.html', '.csv', '.tsv', 'ai', 'offline', 'auto', 'aab', 'agrobank', 'aloqabank', 'anorbank', 'asiaalliance', 'davrbank', 'hamkorbank', 'infinbank', 'ipakyuli', 'ipoteka', 'kapitalbank', 'mikrokredit', 'nbu', 'orientfinans', 'sqb', 'tengebank', 'trastbank', 'turonbank', 'xalqbank']) AS known""")
+@query("""WITH f AS (SELECT unnest(['.xlsx', '.xlsm', '.xls', '.xls (HTML)', '.htm', '.html', '.csv', '.tsv', 'ai', 'offline', 'auto', 'aab', 'agrobank', 'aloqabank', 'anorbank', 'asiaalliance', 'davrbank', 'hamkorbank', 'infinbank', 'ipakyuli', 'ipoteka', 'kapitalbank', 'mikrokredit', 'nbu', 'orientfinans', 'sqb', 'tengebank', 'trastbank', 'turonbank', 'xalqbank']) AS known)
+SELECT known, coalesce(n, 0) AS n_pages FROM f LEFT JOIN (SELECT regexp_extract(lower(url), '([.][a-z]+)$', 1) AS known, count(*) AS n FROM pages GROUP BY 1) USING (known)""")
 def known_formats(spark, sf_dir):
-    """SVC3, ORD7"""
-    f = service.formats(spark)
-    return f.select(F.explode(F.concat("input_formats", "modes", "known_banks")).alias("known"))
+    """SVC3, ORD7: what is known, and pages that end like it."""
+    known = service.formats(spark).select(F.explode(F.concat("input_formats", "modes", "known_banks")).alias("known"))
+    ends = table(spark, sf_dir, "pages").groupBy(F.regexp_extract(F.lower("url"), "([.][a-z]+)$", 1).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    return known.join(ends, "known", "left").select("known", F.coalesce("n", F.lit(0).cast("long")).alias("n_pages"))
 
 
 def _stream(spark, sf_dir):
@@ -101,8 +103,7 @@ def _stream(spark, sf_dir):
 
 def _folder(spark) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT * FROM ({DAYS}) ORDER BY day DESC LIMIT 20")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from tallyline import functions as fn
 from tallyline.engine import Conversion, convert_grid
 from tallyline.operators import ledger, rows, sinks, statements
-from tallyline.plans.queries import ACCOUNT_SQL, LEDGER, MONEY, account, ledger_rows, once, plain, query, table
+from tallyline.plans.queries import ACCOUNT_SQL, LEDGER, MONEY, account, ledger_rows, once, plain, query, shared, table
 from tallyline.sources import files
+from tallyline.sources.statement_format import register
 
 
 def workbook(key: int, name: str) -> bytes:
@@ -83,6 +85,17 @@ def read_separated(spark, sf_dir):
     return shown(files.parsed(made(spark, sf_dir, separated, ".csv")))
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, c_name AS n FROM customer)
+SELECT k || '.csv' AS file, 0 AS sheet, 0 AS row_idx, 'Дата|Сумма|Имя' AS cells, false AS failed FROM r UNION ALL SELECT k || '.csv', 0, 1, '01.01.2025|' || k || ';5|' || n, false FROM r""")
+def statement_files(spark, sf_dir):
+    """2.P, SNK5: files written one a row, and read again, by the statement format."""
+    folder = f"{shared(spark)}/statements-{uuid.uuid4().hex}"
+    register(spark)
+    made(spark, sf_dir, separated, ".csv").select(F.regexp_extract("file", "([^/]*)$", 1).alias("name"), "content").write.format("statement").mode("append").save(folder)
+    grid = spark.read.format("statement").load(folder).where("sheet = 0")
+    return shown(grid.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1)))
+
+
 @query("SELECT '/in/' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.bin' ELSE '.xls' END AS file, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS failed FROM customer")
 def read_with_fallback(spark, sf_dir):
     """SRC1, SRC10, SVC6: a broken workbook is read as the text that it is, unknown bytes fail alone, a page that is named xls is read."""

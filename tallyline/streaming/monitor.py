@@ -28,21 +28,39 @@ def transitions(checks: DataFrame, key: list[str], order: list[str], is_up: Colu
     return checks.withColumn("is_up", is_up).withColumn("was_up", F.lag("is_up", 1, True).over(w)).where("is_up <> was_up")
 
 
+def _batches(spark: SparkSession, path: str) -> tuple[object, dict[int, object]]:
+    """The file system, and the folders of batches that are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(at) if store.exists(at) else []
+    folders = {int(f.getPath().getName()[6:]): f.getPath() for f in found if f.getPath().getName().startswith("batch=")}
+    return store, {n: p for n, p in folders.items() if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
 def persist_daily(calls: DataFrame, ts: str, failed: Column, path: str, checkpoint: str, keep: int = 90, now: bool = False):
-    """SVC12: the newest days of a stream of calls, as a table that each batch replaces as a whole: a batch writes a folder
-    of its own (``batch=<n>``), and ``latest_days`` reads the last one that is complete. now: what is there, then stop."""
+    """SVC12: the newest days of a stream of calls, as a table that each batch replaces as a whole (``latest_days`` reads it).
+
+    A batch is a folder named by its id, complete once its marker is there. A replayed batch that is complete leaves its folder as it is;
+    when one is complete, those before the last two are removed. now: what is there, then stop.
+    """
 
     def write(days: DataFrame, batch: int) -> None:
-        retained(days, keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        store, complete = _batches(days.sparkSession, path)
+        if batch not in complete:
+            retained(days, keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        else:  # the state of the stream has to move on
+            days.write.format("noop").mode("overwrite").save()
+        for n in sorted({*complete, batch})[:-2]:
+            store.delete(complete[n], True)
 
     w = daily(calls, ts, failed).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (w.trigger(availableNow=True) if now else w).start()
 
 
 def latest_days(spark: SparkSession, path: str) -> DataFrame:
-    """What ``persist_daily`` wrote last."""
-    d = spark.read.parquet(path)
-    return d.join(F.broadcast(d.agg(F.max("batch").alias("batch"))), "batch").select("day", "total", "success", "error")
+    """What ``persist_daily`` wrote last; no other batch is read."""
+    last = max(_batches(spark, path)[1].items())[1].toString()
+    return spark.read.parquet(last).select("day", "total", "success", "error")
 
 
 def alerts_stream(checks: DataFrame, key: str, order: list[str], is_up: Column) -> DataFrame:
