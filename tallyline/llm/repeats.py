@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import give_back, keyed, others, schema_of, written
+from tallyline.llm.tables import give_back, keyed, let_go, others, schema_of, written
 
 ANCHOR, HOT, WINDOW, SPAN, FRAGMENT = range(5)
 ROW = "key long, kind byte, alike long, doc long, pos int, size int, frag binary"
@@ -184,6 +184,7 @@ def level_one(ids: np.ndarray, raw: list[bytes | None], u: Units) -> Iterator[pa
 
 def blocks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = BLOCK_BYTES) -> Iterator[list]:
     """Rows by column, gathered until their texts (the second column) have limit bytes."""
+    let_go()
     have, size = [[] for _ in columns], 0
     for b in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
         cols = [b.column(b.schema.get_field_index(c)) for c in columns]

@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +42,22 @@ _HELD: dict[str, tuple] = {}
 
 
 def give_back() -> None:
-    """Returns free memory of a Python worker to the machine at the end of a task; the allocator would keep it for the next one."""
+    """Returns free memory of a Python worker to the machine at the end of a task; the allocators would keep it for the next one."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+def let_go() -> None:
+    """Drops what operators before have left in this worker; for those that hold nothing between tasks."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        give_back()
+
+
 def of_worker(name: str, version, make: Callable, keep: str = "") -> object:
     """A value that tasks of one operator share in a worker; all others but the one named ``keep`` are dropped.
 

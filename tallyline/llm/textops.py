@@ -12,7 +12,7 @@ import numpy as np
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
-_CHUNK = 1 << 20
+_CHUNK, _STEP = 1 << 20, 1 << 17
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand by steps: a worker holds hardly more than it has needed."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -39,7 +39,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = -(-n // _STEP) * _STEP
             for name, b in (("up", self.base), ("down", self.inverse)):
                 a = np.full(size, b, np.uint64)
                 a[0] = 1
