@@ -7,12 +7,14 @@ sheets and batches are independent rows, so they spread over the cluster as the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegralType, StructType
 
 from tallyline import functions as fn
 from tallyline.operators import answers as sent
@@ -35,11 +37,14 @@ class Options:
 
     It runs in tasks, so it must be importable there. An exception that it raises becomes the request's error.
 
+    schema: ask gets the JSON schema of the answer as a fourth argument (``answer_schema``), for models that keep to one; it is then
+    part of what makes two requests the same.
+
     answers: the folder of a table of answers, by which a request is sent once, also in another run (see ``answers``),
     and tried up to ``tries`` times; empty: requests are sent whenever their plan is worked out, and once each time.
     """
 
-    ask: Callable[[str, str, int], tuple[str, str]]
+    ask: Callable[..., tuple[str, str]]
     batch_rows: int = 60
     most: int = 16_000
     most_for_accounts: int = 4_000
@@ -50,6 +55,7 @@ class Options:
     answers: str = ""
     tries: int = 3
     per_task: int = 4
+    schema: bool = False
 
 
 def rendered(row: Column, cells: Column) -> Column:
@@ -68,14 +74,37 @@ def decimal_or_none(text: Column) -> Column:
     return F.when(fn.clean_text(text) != "", fn.parse_amount(fn.clean_text(text)))
 
 
+def _json_schema(of: DataType) -> dict:
+    """JSON schema of a Spark type: every field of an object is required, and there are no others."""
+    if isinstance(of, StructType):
+        return {"type": "object", "properties": {f.name: _json_schema(f.dataType) for f in of}, "required": of.fieldNames(), "additionalProperties": False}
+    if isinstance(of, ArrayType):
+        return {"type": "array", "items": _json_schema(of.elementType)}
+    return {"type": "integer" if isinstance(of, IntegralType) else "string"}
+
+
+def answer_schema(kind: str) -> dict:
+    """LLM2: the JSON schema of the answers that ``read_answers`` reads, made from the same types; a layout is one of two words."""
+    out = _json_schema(StructType.fromDDL("answer " + (ACCOUNTS if kind == "accounts" else TRANSACTIONS))["answer"].dataType)
+    if kind == "accounts":
+        out["properties"]["accounts"]["items"]["properties"]["layout"]["enum"] = ["row", "block"]
+    return out
+
+
+def _with_schema(ask: Callable[..., tuple[str, str]]) -> Callable[[str, str, int], tuple[str, str]]:
+    schemas = {kind: answer_schema(kind) for kind in ("accounts", "transactions")}
+    return lambda kind, body, most: ask(kind, body, most, schemas[kind])
+
+
 def asked(requests: DataFrame, kind: str, most: int, o: Options) -> DataFrame:
     """LLM5: requests (any columns, body) with answer (text) and error: what the model or its transport said, cut off, refused, empty or not readable."""
     kept = [c for c in requests.columns if c not in ("answer", "error", "stopped")]
+    ask = _with_schema(o.ask) if o.schema else o.ask
     if o.answers:
-        keyed = requests.select(*kept).withColumn("digest", sent.digest_of(kind, most, F.col("body")))
-        answered = sent.send(keyed.select("digest", "body"), o.ask, kind, most, o.answers, o.tries, o.per_task)
+        what = F.concat_ws("\n", F.lit(json.dumps(answer_schema(kind))), "body") if o.schema else F.col("body")
+        keyed = requests.select(*kept).withColumn("digest", sent.digest_of(kind, most, what))
+        answered = sent.send(keyed.select("digest", "body"), ask, kind, most, o.answers, o.tries, o.per_task)
         return read_answers(keyed.join(answered, "digest", "left").drop("digest"), kind)
-    ask = o.ask
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

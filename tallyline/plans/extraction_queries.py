@@ -11,8 +11,9 @@ from tallyline.operators import extraction, ledger, statements
 from tallyline.plans.queries import ACCOUNT_SQL, LINES, lines, once, plain, query, sheets, table
 
 
-def reader(kind: str, body: str, most: int) -> tuple[str, str]:
-    """Answers as a model would, from the shape of ``queries.sheets``; account numbers that divide by 9 get broken answers."""
+def reader(kind: str, body: str, most: int, schema: dict) -> tuple[str, str]:
+    """Answers as a model would, from the shape of ``queries.sheets``, if it has the fields of the schema; account numbers that divide by 9 get broken answers."""
+    fields = set(schema["properties"][kind]["items"]["required"])
     rows = [line.split("\t") for line in body.split("\n") if re.match(r"\d+\t", line)]
     if kind == "accounts":
         number = re.sub(r"\D", "", rows[0][1])
@@ -22,17 +23,17 @@ def reader(kind: str, body: str, most: int) -> tuple[str, str]:
             return [("max_tokens", "{"), ("refusal", ""), ("end", " "), ("end", "no json")][key // 9 % 4]
         data = [int(r[0]) for r in rows if re.match(r"\d{2}\.\d{2}\.\d{4}", r[1])]
         account = {"account_number": "№ " + number, "currency": "", "account_name": " A  B ", "period_from": "", "period_to": "", "opening_balance": "", "closing_balance": "", "stated_debit_total": total[3], "stated_credit_total": total[4], "stated_count": len(data), "header_row": 1, "first_data_row": min(data), "last_data_row": int(total[0]) - 1, "layout": "row", "columns": {"date": 0}}
-        return "end", json.dumps({"accounts": [account]})
+        return "end", json.dumps({"accounts": [account]}) if set(account) == fields else "other fields"
     a, b = map(int, re.search(r"rows (\d+) to (\d+)", body).groups())
     out = []
     for r in rows:
         if a <= int(r[0]) <= b:
             debit, credit = r[3], r[4]
             out += [{"source_row": int(r[0]), "transaction_date": r[1], "document_number": r[2], "debit_amount": debit, "credit_amount": credit or "0", "counterparty_name": "", "counterparty_account": r[5], "counterparty_inn": "", "bank_code": "419", "payment_purpose": r[6]}] * 2
-    return "end", json.dumps({"transactions": out})
+    return "end", json.dumps({"transactions": out}) if all(set(t) == fields for t in out) else "other fields"
 
 
-OPTIONS = extraction.Options(reader, batch_rows=4)
+OPTIONS = extraction.Options(reader, batch_rows=4, schema=True)
 READ = "o_custkey % 9 <> 0"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import service
 from tallyline.plans.queries import DAYS, query, shared, table
-from tallyline.streaming import monitor
+from tallyline.streaming import monitor, reports
 
 ALIASES = ("ai", "model-ai", " Offline", "model_offline", "AUTO", "rules", "other", "")
 
@@ -130,3 +130,35 @@ def health_alert_stream(spark, sf_dir):
     s = monitor.alerts_stream(_stream(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("event_type") != "error")
     s.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(s.schema).parquet(f"{folder}/out").select("event_id", "user_id", "is_up")
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, CAST(ts + INTERVAL 15 HOUR AS DATE) AS day, event_type = 'error' AS bad FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT user_id, min(day) AS a FROM e GROUP BY 1), w AS (SELECT CAST(max(ts) - INTERVAL 10 HOUR AS DATE) AS b FROM events),
+g AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM f, w),
+c AS (SELECT user_id, day, count(*) AS n, count(*) FILTER (NOT bad) AS s, count(*) FILTER (bad) AS x, count(*) FILTER (d = day) AS tn, count(*) FILTER (d = day AND NOT bad) AS ts, count(*) FILTER (d = day AND bad) AS tx FROM e GROUP BY 1, 2),
+r AS (SELECT user_id, day, coalesce(tn, 0) AS tn, coalesce(ts, 0) AS ts, coalesce(tx, 0) AS tx, sum(coalesce(n, 0)) OVER o AS n, sum(coalesce(s, 0)) OVER o AS s, sum(coalesce(x, 0)) OVER o AS x FROM g LEFT JOIN c USING (user_id, day) WINDOW o AS (PARTITION BY user_id ORDER BY day))
+SELECT user_id, CAST(day AS VARCHAR) AS day, 'Daily report - ' || CAST(day AS VARCHAR) || chr(10) || 'Calls: ' || tn || chr(10) || 'Successful: ' || ts || chr(10) || 'Errors: ' || tx || chr(10) || chr(10) || 'All-time - calls: ' || CAST(n AS BIGINT) || ', success: ' || CAST(s AS BIGINT) || ', errors: ' || CAST(x AS BIGINT) AS text FROM r""")
+def daily_report_stream(spark, sf_dir):
+    """STM2: a report of each user a day at nine, by timers, also on days without events."""
+    folder = _folder(spark)
+    s = reports.daily_reports_stream(_stream(spark, sf_dir), "user_id", "ts", F.col("event_type") == "error", 9, "1 hour")
+    s.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    r = spark.read.schema(s.schema).parquet(f"{folder}/out")
+    figures = lambda x: [F.col(f"{x}{f}") for f in reports.FIGURES]
+    return r.select("user_id", "day", reports.report_text(F.col("day"), figures(""), figures("all_")).alias("text"))
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type <> 'error') AS s, count(*) FILTER (event_type = 'error') AS x FROM events GROUP BY 1)
+SELECT event_id, user_id, 'API status: UP' || chr(10) || 'Today - calls: ' || n || ', success: ' || s || ', errors: ' || x AS reply FROM events JOIN d ON CAST(ts AS DATE) = day
+WHERE event_type IN ('error', 'click') AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)""")
+def command_replies_stream(spark, sf_dir):
+    """STM3, STM4: events as updates that come twice; those that ask, from allowed users, are answered once, with the figures of their day."""
+    folder = _folder(spark)
+    text = F.when(F.col("event_type") == "error", "/status").when(F.col("event_type") == "click", " /stats ").otherwise(F.col("event_type"))
+    updates = _stream(spark, sf_dir).select("event_id", "user_id", F.to_date("ts").alias("day"), text.alias("text"))
+    allowed = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    s = reports.commands_stream(updates.union(updates), allowed, "user_id", "event_id")
+    s.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    days = monitor.daily(table(spark, sf_dir, "events"), "ts", F.col("event_type") == "error")
+    asked = spark.read.schema(s.schema).parquet(f"{folder}/out").join(days, "day")
+    return asked.select("event_id", "user_id", service.status_text(F.struct("total", "success", "error"), F.lit(True)).alias("reply"))

@@ -14,8 +14,8 @@ from tallyline import functions as fn
 from tallyline.engine import Conversion, convert_grid
 from tallyline.operators import ledger, rows, sinks, statements
 from tallyline.plans.queries import ACCOUNT_SQL, LEDGER, MONEY, account, ledger_rows, once, plain, query, shared, table
-from tallyline.sources import files
-from tallyline.sources.statement_format import register
+from tallyline.sources import files, table_function
+from tallyline.sources.statement_format import persist_stream, register, stored
 
 
 def workbook(key: int, name: str) -> bytes:
@@ -96,6 +96,42 @@ def statement_files(spark, sf_dir):
     return shown(grid.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1)))
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, c_name AS n FROM customer)
+SELECT k || '.csv' AS file, 0 AS row_idx, 'Дата|Сумма|Имя' AS cells, NULL AS error FROM r WHERE k % 5 <> 0 UNION ALL SELECT k || '.csv', 1, '01.01.2025|' || k || ';5|' || n, NULL FROM r WHERE k % 5 <> 0
+UNION ALL SELECT k || '.csv', 0, NULL, 'ValueError: the file has no rows' FROM r WHERE k % 5 = 0""")
+def statement_file_stream(spark, sf_dir):
+    """SRC12, SRC13, 2.P: files that arrive in two runs of a stream, each once; those without rows become dead letters."""
+    folder = f"{shared(spark)}/arrivals-{uuid.uuid4().hex}"
+    register(spark)
+    k = F.regexp_extract("file", r"(\d+)\.csv$", 1).cast("long")
+    csvs = made(spark, sf_dir, separated, ".csv").select(k.alias("k"), F.concat(k.cast("string"), F.lit(".csv")).alias("name"), F.when(k % 5 != 0, F.col("content")).alias("content"))
+    for part in (0, 1):
+        csvs.where(F.col("k") % 2 == part).select("name", "content").write.format("statement").mode("append").save(f"{folder}/in")
+        grid = spark.readStream.format("statement").load(f"{folder}/in")
+        persist_stream(grid, f"{folder}/kept", f"{folder}/checkpoint", now=True).awaitTermination()
+    both = stored(spark, f"{folder}/kept", False).unionByName(stored(spark, f"{folder}/kept", True))
+    return both.select(F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "row_idx", F.array_join("cells", "|").alias("cells"), "error")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, c_name AS n FROM customer), p AS (SELECT page_id AS k, 'p' || page_id || CASE page_id % 3 WHEN 1 THEN '.csv' ELSE '.html' END AS file FROM pages)
+SELECT '/in/' || k || '.xls' AS file, 0 AS sheet, 0 AS row_idx, 'Счёт' || chr(10) || n || 'in|-|x ' || k AS cells FROM r UNION ALL SELECT '/in/' || k || '.xls', 0, 1, 'second|-|-' FROM r
+UNION ALL SELECT file, 0, 0, '№|' || k FROM p WHERE k % 3 = 0 UNION ALL SELECT file, 0, 1, 'end|-' FROM p WHERE k % 3 = 0
+UNION ALL SELECT file, 0, 0, '№|page' FROM p WHERE k % 3 = 1 UNION ALL SELECT file, 0, 1, '1|' || k FROM p WHERE k % 3 = 1
+UNION ALL SELECT file, 0, 0, 'ValueError: no <table> element' FROM p WHERE k % 3 = 2""")
+def statement_cells_sql(spark, sf_dir):
+    """2.P, SRC7, SRC9: the table function in SQL, over bytes of statements and over texts: web pages with a table, csv, pages without a table."""
+    table_function.register(spark)
+    own, web = (f"{n}_{uuid.uuid4().hex}" for n in ("own", "web"))
+    made(spark, sf_dir, page, ".xls").createOrReplaceTempView(own)
+    k = F.col("page_id")
+    content = F.when(k % 3 == 0, F.concat(F.lit("<table><tr><td>№</td><td>"), k.cast("string"), F.lit("</td></tr><tr><td>end</td></tr></table>"), "html"))
+    content = content.when(k % 3 == 1, F.concat(F.lit("№;page\n1;"), k.cast("string"), F.lit("\n"))).otherwise(F.col("html"))
+    table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string"), F.when(k % 3 == 1, ".csv").otherwise(".html")).alias("file"), content.alias("content")).createOrReplaceTempView(web)
+    cells = "coalesce(array_join(transform(c.cells, x -> coalesce(x, '-')), '|'), c.error) AS cells"
+    return spark.sql(f"""SELECT c.file, sheet, row_idx, {cells} FROM {own} o, LATERAL statement_cells(o.file, o.content) c
+    UNION ALL SELECT c.file, sheet, row_idx, {cells} FROM {web} w, LATERAL statement_cells(w.file, w.content) c""")
+
+
 @query("SELECT '/in/' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.bin' ELSE '.xls' END AS file, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS failed FROM customer")
 def read_with_fallback(spark, sf_dir):
     """SRC1, SRC10, SVC6: a broken workbook is read as the text that it is, unknown bytes fail alone, a page that is named xls is read."""

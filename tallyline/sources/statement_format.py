@@ -1,8 +1,9 @@
-"""``spark.read.format("statement")`` and ``df.write.format("statement")``.
+"""``spark.read.format("statement")``, ``spark.readStream.format("statement")`` and ``df.write.format("statement")``.
 
 Reading: rows of cells like ``files.read_statements``. Files are dealt to partitions by size; filters on ``file`` decide what
 is opened, those on ``sheet`` what is given. Writing (name string, content binary or string): one file a row, under a name
-that is its own; all are put in place when the job commits, by a rename each, and none if it aborts.
+that is its own; all are put in place when the job commits, by a rename each, and none if it aborts. As a stream: files
+as they arrive, each once (``Arrivals``); ``persist_stream`` keeps their rows and, apart, the files that gave none.
 
 Paths are those of Arrow's file systems: local ones, or URIs of s3, gs, abfs and hdfs. Where only Spark reaches a store,
 ``files.read_statements`` reads it.
@@ -11,15 +12,17 @@ Paths are those of Arrow's file systems: local ones, or URIs of s3, gs, abfs and
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from tallyline.sources import files
 
@@ -52,6 +55,39 @@ class Group(InputPartition):
     files: list[tuple[str, str, int]]
 
 
+def listed(path: str, suffix: str) -> list[tuple[str, str, int, int]]:
+    """Files under a path: (name as it is shown, path, bytes, time of the last change in ns)."""
+    store, root = opened(path)
+    info = store.get_file_info(root)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+    prefix = path[: len(path.rstrip("/")) - len(root.rstrip("/"))] if "://" in path or path.startswith("file:") else ""
+    found = [f for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, suffix) and not f.base_name.startswith((".", "_"))]
+    return [(prefix + f.path, f.path, f.size, f.mtime_ns or 0) for f in found]
+
+
+def dealt(named: list[tuple[str, str, int]], most: int) -> list[InputPartition]:
+    """Files dealt to tasks by size."""
+    groups, size = [], most + 1
+    for x in sorted(named, key=lambda x: -x[2]):
+        if size + x[2] > most:
+            groups.append(Group([]))
+            size = 0
+        groups[-1].files.append(x)
+        size += x[2] + OPEN_BYTES
+    return groups or [Group([])]
+
+
+def rows_of(path: str, partition: Group) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Batches of rows, each with the file it is of."""
+    store, _ = opened(path)
+    for name, at, _size in partition.files:
+        with store.open_input_stream(at) as f:
+            data = f.read()
+        one = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.array([kind_of(data, name)], pa.string())], names=["file", "content", "kind"])
+        for rows in files._rows(iter([one])):
+            yield name, rows
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.suffix = options["path"], options.get("pathglobfilter", "*")
@@ -68,30 +104,61 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        store, root = opened(self.path)
-        info = store.get_file_info(root)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        prefix = self.path[: len(self.path.rstrip("/")) - len(root.rstrip("/"))] if "://" in self.path or self.path.startswith("file:") else ""
-        named = [(prefix + f.path, f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.suffix) and not f.base_name.startswith((".", "_"))]
-        named = [x for x in named if "file" not in self.wanted or x[0] in self.wanted["file"]]
-        groups, size = [], self.most + 1
-        for x in sorted(named, key=lambda x: -x[2]):
-            if size + x[2] > self.most:
-                groups.append(Group([]))
-                size = 0
-            groups[-1].files.append(x)
-            size += x[2] + OPEN_BYTES
-        return groups or [Group([])]
+        named = [x[:3] for x in listed(self.path, self.suffix) if "file" not in self.wanted or x[0] in self.wanted["file"]]
+        return dealt(named, self.most)
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        store, _ = opened(self.path)
         sheets = self.wanted.get("sheet")
-        for name, path, _size in partition.files:
-            with store.open_input_stream(path) as f:
-                data = f.read()
-            one = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.array([kind_of(data, name)], pa.string())], names=["file", "content", "kind"])
-            for rows in files._rows(iter([one])):
-                yield rows if sheets is None else rows.filter(pa.compute.is_in(rows["sheet"], pa.array(sorted(x for x in sheets if x is not None), rows["sheet"].type)))
+        for _, rows in rows_of(self.path, partition):
+            yield rows if sheets is None else rows.filter(pa.compute.is_in(rows["sheet"], pa.array(sorted(x for x in sheets if x is not None), rows["sheet"].type)))
+
+
+class Arrivals(DataSourceStreamReader):
+    """Files as they arrive. A file is its path and the time of its last change: one that is written anew comes again.
+
+    An offset is the newest time seen and the digests of the files not older than ``lag`` seconds before it. So a file that shows
+    up late, by at most ``lag`` (default: 600), is not missed, and an offset holds only the files of the last ``lag`` seconds. Both ends of a
+    batch are in the stream's log: a batch that is run again has the same files, those deleted in between apart.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.suffix = options["path"], options.get("pathglobfilter", "*")
+        self.most = int(options.get("maxpartitionbytes", MOST_BYTES))
+        self.lag = round(float(options.get("lag", 600)) * 1e9)
+
+    @staticmethod
+    def mark(x: tuple) -> str:
+        return hashlib.blake2b(f"{x[3]} {x[1]}".encode(), digest_size=16).hexdigest()
+
+    def initialOffset(self) -> dict:
+        return {"newest": 0, "recent": []}
+
+    def latestOffset(self) -> dict:
+        found = listed(self.path, self.suffix)
+        newest = max((x[3] for x in found), default=0)
+        return {"newest": newest, "recent": sorted(self.mark(x) for x in found if x[3] >= newest - self.lag)}
+
+    def within(self, offset: dict) -> Callable[[tuple], bool]:
+        recent = set(offset["recent"])
+        return lambda x: x[3] < offset["newest"] - self.lag or self.mark(x) in recent
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, until = self.within(start), self.within(end)
+        return dealt([x[:3] for x in listed(self.path, self.suffix) if until(x) and not before(x)], self.most)
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        """A file that cannot be read, is gone or has no row is one row with its error."""
+        for x in partition.files:
+            n = 0
+            try:
+                for _, rows in rows_of(self.path, Group([x])):
+                    n += rows.num_rows
+                    yield rows
+                error = None if n else "ValueError: the file has no rows"
+            except FileNotFoundError as e:
+                error = f"FileNotFoundError: {e}"
+            if error:
+                yield files._batch([(x[0], None, 0, None, 0, None, None, error)])
 
 
 @dataclass
@@ -141,7 +208,7 @@ class Writer(DataSourceWriter):
 
 
 class Statement(DataSource):
-    """options: path, pathGlobFilter, maxPartitionBytes."""
+    """options: path, pathGlobFilter, maxPartitionBytes; lag (of a stream, in seconds)."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,6 +220,9 @@ class Statement(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
+    def streamReader(self, schema) -> Arrivals:
+        return Arrivals(self.options)
+
     def writer(self, schema, overwrite: bool) -> Writer:
         if set(schema.names) != {"name", "content"}:
             raise ValueError("a table of files has the columns name and content")
@@ -163,3 +233,22 @@ def register(spark: SparkSession) -> None:
     """Makes the format known to a session; filters reach it only where the session lets Python sources have them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Statement)
+
+
+def persist_stream(grid: DataFrame, path: str, checkpoint: str, now: bool = False):
+    """Keeps a stream of statement files as a table with ``failed``, a partition: false: rows of cells; true: dead letters, a row a file with its error.
+
+    A batch is parsed and written once, as a folder by its id; a batch that is run again replaces its own folder. now: what is there, then stop.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy("failed").parquet(f"{path}/batch={batch}")
+
+    w = grid.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if now else w).start()
+
+
+def stored(spark: SparkSession, path: str, failed: bool) -> DataFrame:
+    """What ``persist_stream`` keeps: rows, or dead letters; the files of the other are not read."""
+    held = spark.read.schema(f"{files.SCHEMA}, batch int, failed boolean").option("basePath", path).parquet(path)
+    return held.where(F.col("failed") == failed).drop("failed")

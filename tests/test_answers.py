@@ -1,5 +1,6 @@
 """Requests that are sent once: a worker that dies, a second run, failures of the transport."""
 
+import json
 import os
 from collections import Counter
 
@@ -73,3 +74,26 @@ def test_failures_are_tried_up_to_a_bound(spark, tmp_path):
 
 def test_no_requests(spark, tmp_path):
     assert answers.send(requests(spark, []), asker(str(tmp_path)), "accounts", 9, str(tmp_path / "answers")).collect() == []
+
+
+def test_the_schema_goes_with_a_request(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def ask(kind, body, most, schema):
+        with open(seen, "a") as f:
+            f.write("x")
+        return "end", json.dumps({kind: [{n: 1 if p["type"] == "integer" else "" for n, p in schema["properties"][kind]["items"]["properties"].items()}]})
+
+    r = spark.createDataFrame([("b",)], "body string")
+    o = extraction.Options(ask, answers=str(tmp_path / "answers"), schema=True)
+    assert extraction.asked(r, "transactions", 9, o).head().found[0].source_row == 1
+    assert extraction.asked(r, "transactions", 9, extraction.Options(ask, schema=True)).head().found[0].source_row == 1
+    assert os.path.getsize(seen) == 2
+    # The same body without a schema is another request.
+    extraction.asked(r, "transactions", 9, extraction.Options(asker(str(tmp_path)), answers=str(tmp_path / "answers"))).collect()
+    assert sum(calls(str(tmp_path)).values()) == 1
+    accounts = extraction.answer_schema("accounts")
+    one = accounts["properties"]["accounts"]["items"]
+    assert accounts["required"] == ["accounts"] and one["additionalProperties"] is False and one["properties"]["layout"] == {"type": "string", "enum": ["row", "block"]}
+    assert one["required"] == list(one["properties"]) and one["properties"]["columns"]["properties"]["debit"] == {"type": "integer"}
+    assert extraction.answer_schema("transactions")["properties"]["transactions"]["items"]["properties"]["debit_amount"] == {"type": "string"}
