@@ -54,7 +54,8 @@ class DailyReports(StatefulProcessor):
         return at if start < at else at + DAY
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = self.reported.get()[0] if self.reported.exists() else None
+        reported = self.reported.get()
+        done = reported[0] if reported else None
         new: dict[int, list[int]] = {}
         for frame in rows:
             for ms, *figures in zip(frame["start_ms"].tolist(), *(frame[f].tolist() for f in FIGURES), strict=True):
@@ -68,7 +69,7 @@ class DailyReports(StatefulProcessor):
                     held[i] += n
                     held[i + 3] += n * same_day
         for ms, held in new.items():
-            before = self.waiting.getValue((ms,)) if self.waiting.containsKey((ms,)) else (0,) * 6
+            before = self.waiting.getValue((ms,)) or (0,) * 6
             self.waiting.updateValue((ms,), tuple(a + b for a, b in zip(before, held, strict=True)))
         # Before the first report an earlier hour may still come in: the timer moves back.
         timers = list(self.handle.listTimers())
@@ -82,16 +83,18 @@ class DailyReports(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """All reports up to the watermark: several where the stream has jumped over days."""
         at, now, out = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), []
-        sums = list(self.reported.get()[1:]) if self.reported.exists() else [0, 0, 0]
+        reported = self.reported.get()
+        sums, waiting = list(reported[1:]) if reported else [0, 0, 0], {k[0]: v for k, v in self.waiting.iterator()}
         while at <= now:
             held = (0,) * 6
-            if self.waiting.containsKey((at,)):
-                held = self.waiting.getValue((at,))
+            if at in waiting:
+                held = waiting[at]
                 self.waiting.removeKey((at,))
             sums = [a + b for a, b in zip(sums, held, strict=False)]
             out.append((key[0], _utc(at).strftime("%Y-%m-%d"), *held[3:], *sums))
-            self.reported.update((at, *sums))
-            at = _ms(_utc(at) + DAY)
+            last, at = at, _ms(_utc(at) + DAY)
+        if out:
+            self.reported.update((last, *sums))
         self.handle.registerTimer(at)
         yield pd.DataFrame(out, columns=[self.key, "day", *FIGURES, *(f"all_{f}" for f in FIGURES)])
 
