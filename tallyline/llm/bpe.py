@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.tables import give_back, of_worker, others, schema_of
+from tallyline.llm.tables import give_back, of_worker, others, schema_of, small_batches
 
 NONE = np.int64(1) << 62
 #: Bits of a leaf that say where its pair is; a word of 2**40 bytes fits in no machine.
@@ -244,6 +244,7 @@ def bpe(documents: DataFrame, path: str) -> DataFrame:
     other columns are kept as they are; those named like a result, in whatever case, are replaced. An empty table gives
     an empty result.
     """
+    small_batches(documents.sparkSession)
     kept = others(documents, "n_tokens", "ids", "decoded")
     docs = documents.select([F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
     schema = schema_of(docs, docs.columns) + ", n_tokens long, ids binary, decoded string"

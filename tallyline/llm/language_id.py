@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import give_back, of_worker, written
+from tallyline.llm.tables import give_back, of_worker, small_batches, written
 
 #: Letters of a batch of words (a longer word is a batch of its own), and columns after which sums are brought near 1.
 LETTERS, RENEW = 1 << 16, 16
@@ -243,6 +243,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     Equal scores: the language that sorts first. Whole texts count; rows are independent, so repeated rows and other
     columns stay as they are. An empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "lang_score")]
     docs = documents.select(kept).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, lang_score double"

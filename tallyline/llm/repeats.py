@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import textops as T
-from tallyline.llm.tables import give_back, keyed, let_go, others, schema_of, written
+from tallyline.llm.tables import give_back, keyed, let_go, others, schema_of, small_batches, written
 
 ANCHOR, HOT, WINDOW, SPAN, FRAGMENT = range(5)
 ROW = "key long, kind byte, alike long, doc long, pos int, size int, frag binary"
@@ -320,6 +320,7 @@ def repeated_spans(docs: DataFrame, u: Units, compare: Callable) -> DataFrame:
 
 def removed(documents: DataFrame, u: Units, compare: Callable) -> DataFrame:
     """documents with n_units, n_removed, removed_spans (merged, in units) and kept (binary)."""
+    small_batches(documents.sparkSession)
     docs, names = keyed(documents)
     spans_of = repeated_spans(docs, u, compare)
     own = others(documents, "n_units", "n_removed", "removed_spans", "kept")

@@ -11,6 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.llm import textops
+
+#: Bytes of an Arrow batch that a Python worker is sent; Spark's own default lets 10,000 whole texts wait in the executor and again in the worker.
+BATCH_BYTES, SPARKS_OWN = 4 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES in the session, unless the session has chosen a limit of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == f"{SPARKS_OWN}b":
+        spark.conf.set(name, BATCH_BYTES)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset (tests)."""
@@ -25,6 +37,7 @@ def written(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     of a table that an operator's result reads live as long as the shared folder does.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/tallyline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for old in drop:
@@ -43,6 +56,7 @@ _HELD: dict[str, tuple] = {}
 
 def give_back() -> None:
     """Returns free memory of a Python worker to the machine at the end of a task; the allocators would keep it for the next one."""
+    textops.forget_powers()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

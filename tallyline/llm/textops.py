@@ -35,6 +35,9 @@ class Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.forget()
+
+    def forget(self) -> None:
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +51,14 @@ class Powers:
 
 
 _POWERS = {0: Powers(_BASE), 1: Powers(0xC2B2AE3D27D4EB4F | 1)}
+
+
+def forget_powers() -> None:
+    """At the end of a task: they are made anew in milliseconds and would fill an idle worker."""
+    for p in _POWERS.values():
+        p.forget()
+
+
 _BYTES = {0: _byte_values(0x1234567), 1: _byte_values(0x7654321)}
 
 
