@@ -27,12 +27,12 @@ from tallyline.llm.repeats import blocks
 from tallyline.llm.tables import keyed, texts, written
 
 #: Shingles whose frequency is known to all tasks at most (9 bytes each), and documents a reference set is sent along with.
-FREQUENT, TOGETHER = 1 << 17, 64
+FREQUENT, TOGETHER = 1 << 19, 64
 #: Estimated candidates from which a prefix asks for one more shared shingle each.
 COSTS = (256, 4096, 65536)
 PREFIX, MEMBER = 0, 1
-#: Bytes of text that a task works on at a time.
-BLOCK = 1 << 20
+#: Bytes of text that a task works on at a time, and shingles that it gathers to count those of several documents.
+BLOCK, COUNTED = 1 << 20, 1 << 22
 #: Bits of the smallest sketch; larger sets have the power of two at or above their size.
 SKETCH = 256
 
@@ -87,15 +87,30 @@ def differing(a: bytes, b: bytes) -> int:
 def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and the binary logarithm of their counts.
 
-    Each block of documents gives the shingles that several of its documents have. This only puts shingles in order
-    and estimates costs; no link depends on it.
+    Each task gives the shingles that several of its documents have, COUNTED shingles at a time. With t such parts, a passage
+    that over sqrt(2 t) documents share is met twice in one, so its shingles come last in the order however few of
+    their documents lie side by side, and a passage's holders do not all meet. This only puts shingles in order and estimates costs;
+    no link depends on it.
     """
 
+    def several(held):
+        token = np.sort(np.concatenate(held))
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        n = np.diff(start)
+        return pa.RecordBatch.from_arrays([pa.array(signed(token[start[:-1][n > 1]])), pa.array(n[n > 1])], names=["token", "n"])
+
     def run(batches):
+        held, total = [], 0
         for _, raw in blocks(batches, ["doc", "text"], BLOCK):
             g, _, _ = shingles(raw, size)
-            token, n = np.unique(g, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
+            if len(g):
+                held.append(g)
+                total += len(g)
+            if total >= COUNTED:
+                yield several(held)
+                held, total = [], 0
+        if held:
+            yield several(held)
 
     rows = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     token, n = rows["token"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()
