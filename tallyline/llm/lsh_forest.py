@@ -55,9 +55,14 @@ def string(number: np.ndarray) -> np.ndarray:
 
 
 def entries(v: DataFrame, k: int, rows: int) -> DataFrame:
-    """Different vectors in blocks of at most ``rows``, each with its k + 1 smallest ids (ids of a block, and where each vector's begin)."""
+    """Different vectors in blocks of at most ``rows``, each with its k + 1 smallest ids (ids of a block, and where each vector's begin).
+
+    A query has a row for each block that it meets in a tree, so the vectors are dealt out anew, to as many tasks as make
+    full blocks: how many blocks there are follows from the vectors, not from the partitions of a shuffle.
+    """
     n = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = v.withColumn("n", n).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = written(v.withColumn("n", n).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    tasks = max(1, -(-few.count() // rows))
 
     def run(batches):
         held: dict[int, list] = {}
@@ -79,7 +84,7 @@ def entries(v: DataFrame, k: int, rows: int) -> DataFrame:
         for dim in list(held):
             yield give(dim)
 
-    return written(few.mapInArrow(run, ENTRY))
+    return written(few.repartition(tasks).mapInArrow(run, ENTRY), drop=(few,))
 
 
 def strings_of(blocks: DataFrame, means: dict[int, np.ndarray], trees: int, seed: int) -> DataFrame:
