@@ -242,26 +242,42 @@ def fetcher(u: Units) -> Callable:
     return run
 
 
-def settler(u: Units, compare: Callable) -> Callable:
-    """Whole groups of a key, as many as make a shard, are settled together; the input is sorted by key."""
+def settler(u: Units, compare: Callable, may_meet: Callable | None = None) -> Callable:
+    """Whole groups of a key, as many as make a shard, are settled together; the input is sorted by key.
 
-    def settle(t: pa.Table):
+    may_meet(key, left, frags, u): which fragments can share a window with another one of their key. Only these are compared,
+    those of several pieces of the input together.
+    """
+
+    def compared(s: pa.Table):
+        key, left = (s[c].to_numpy().astype(np.int64) for c in ("key", "alike"))
+        doc, pos = (s[c].to_numpy().astype(np.int64) for c in ("doc", "pos"))
+        d, p = compare(key.view(np.uint64), left, doc, pos, s["frag"].to_pylist(), u)
+        yield from spans(d, p, p + u.length)
+
+    def settle(t: pa.Table, waiting: list):
         kind = t["kind"].to_numpy()
         for which in (WINDOW, FRAGMENT):
             s = t.filter(pa.array(kind == which))
             if s.num_rows == 0:
                 continue
             key, alike = (s[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("key", "alike"))
-            doc, pos = (s[c].to_numpy().astype(np.int64) for c in ("doc", "pos"))
             if which == WINDOW:
+                doc, pos = (s[c].to_numpy().astype(np.int64) for c in ("doc", "pos"))
                 gone, _ = settle_windows(key, alike, doc, pos, u)
                 yield from spans(doc[gone], pos[gone], pos[gone] + u.length)
+            elif may_meet is None:
+                yield from compared(s)
             else:
-                d, p = compare(key, alike.astype(np.int64), doc, pos, s["frag"].to_pylist(), u)
-                yield from spans(d, p, p + u.length)
+                s = s.filter(pa.array(may_meet(key, alike.astype(np.int64), s["frag"].to_pylist(), u)))
+                if waiting and sum(w.nbytes for w in waiting) + s.nbytes > SHARD_BYTES:
+                    yield from compared(pa.concat_tables(waiting))
+                    waiting.clear()
+                if s.num_rows:
+                    waiting.append(s)
 
     def run(batches):
-        held, size = [], 0
+        held, size, waiting = [], 0, []
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -273,18 +289,20 @@ def settler(u: Units, compare: Callable) -> Callable:
             key = t["key"].to_numpy()
             cut = np.searchsorted(key, key[-1])  # the last key may go on
             if cut:
-                yield from settle(t.slice(0, cut))
+                yield from settle(t.slice(0, cut), waiting)
                 t = t.slice(cut)
             held, size = t.to_batches(), t.nbytes
         if held:
-            yield from settle(pa.Table.from_batches(held).combine_chunks())
-        held = []
+            yield from settle(pa.Table.from_batches(held).combine_chunks(), waiting)
+        if waiting:
+            yield from compared(pa.concat_tables(waiting))
+        held, waiting = [], []
         give_back()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, u: Units, compare: Callable) -> DataFrame:
+def repeated_spans(docs: DataFrame, u: Units, compare: Callable, may_meet: Callable | None = None) -> DataFrame:
     """doc, spans array<struct<lo int, hi int>>: for each document (doc, text) with any, the units that go (spans may overlap)."""
     if 2 * u.length - u.gram >= SIZE:
         raise ValueError(f"a fragment of 2 * length - gram units must have less than {SIZE}")
@@ -312,17 +330,17 @@ def repeated_spans(docs: DataFrame, u: Units, compare: Callable) -> DataFrame:
     settled = (
         fetched.union(kept.where(f"kind = {WINDOW}"))
         .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(settler(u, compare), ROW)
+        .mapInArrow(settler(u, compare, may_meet), ROW)
     )
     at_once = settled.union(kept.where(f"kind = {SPAN}")).select("doc", F.col("pos").alias("lo"), (F.col("pos") + F.col("size")).alias("hi"))
     return written(at_once.union(equal).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), drop=(kept,))
 
 
-def removed(documents: DataFrame, u: Units, compare: Callable) -> DataFrame:
+def removed(documents: DataFrame, u: Units, compare: Callable, may_meet: Callable | None = None) -> DataFrame:
     """documents with n_units, n_removed, removed_spans (merged, in units) and kept (binary)."""
     small_batches(documents.sparkSession)
     docs, names = keyed(documents)
-    spans_of = repeated_spans(docs, u, compare)
+    spans_of = repeated_spans(docs, u, compare, may_meet)
     own = others(documents, "n_units", "n_removed", "removed_spans", "kept")
     rows = documents.select(*[F.col("doc_id").cast("long").alias(c) if c.lower() == "doc_id" else F.col(f"`{c}`") for c in own])
     schema = schema_of(rows, own) + ", n_units long, n_removed long, removed_spans array<struct<lo:int,hi:int>>, kept binary"

@@ -183,6 +183,31 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.where(follows, plcp[start] - (np.arange(n) - start), plcp)
 
 
+def may_meet(key: np.ndarray, left: np.ndarray, frags: list[bytes], u: Units) -> np.ndarray:
+    """Which fragments can share a window with another one of their key; the others need no suffix array.
+
+    Fragments of a key can only share windows that lie alike around their anchors, with ``x`` of ``u.slack`` bytes before and the
+    others behind. Whichever quarter of the slack x is in, two that share one agree in the bytes that every such window
+    has. A fragment that agrees with no other in any of the four stretches shares none.
+    """
+    buf, start, end = T.join_documents(frags)
+    values = T.byte_values(buf)
+    at = start + left
+    out = np.zeros(len(frags), bool)
+    for i in range(4):
+        least, most = i * (u.slack + 1) // 4, (i + 1) * (u.slack + 1) // 4 - 1
+        a, b = at - least, at + u.gram + u.slack - most
+        inside = np.flatnonzero((a >= start) & (b <= end) & (most >= least))
+        if len(inside) == 0:
+            continue
+        k, h = key[inside], T.span_hashes(values, a[inside], b[inside])
+        order = np.lexsort((h, k))
+        same = (k[order][1:] == k[order][:-1]) & (h[order][1:] == h[order][:-1])
+        out[inside[order[1:][same]]] = True
+        out[inside[order[:-1][same]]] = True
+    return out
+
+
 def shard(key: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray, frags: list[bytes], u: Units) -> tuple[np.ndarray, np.ndarray]:
     """Documents and starts of the strings of u.length bytes that start earlier elsewhere in the shard."""
     buf, start, end = T.join_documents(frags)
@@ -220,4 +245,4 @@ def suffix_dedup(documents: DataFrame, length: int = 100, gram: int = 32) -> Dat
     if not 1 <= gram <= length:
         raise ValueError("gram must be between 1 and length")
     u = Units(False, length, gram, True)
-    return removed(documents, u, shard)
+    return removed(documents, u, shard, may_meet)
