@@ -54,7 +54,8 @@ def made(spark, sf_dir, make, ending):
             keys, names = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([f"/in/{k}{ending}" for k in keys]), pa.array([make(k, n) for k, n in zip(keys, names, strict=True)], pa.binary())], names=["file", "content"])
 
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(run, "file string, content binary")
+    # Far more comes out than goes in: by the size of the table, a scan or a coalesced exchange would make all files in one task.
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").mapInArrow(run, "file string, content binary")
 
 
 def shown(grid, *more):
