@@ -11,13 +11,23 @@ Paths are those of Arrow's file systems: local ones, or URIs of s3, gs, abfs and
 
 from __future__ import annotations
 
+import contextlib
 import fnmatch
 import hashlib
+import heapq
+import io
+import itertools
+import json
+import os
+import pickle
 import re
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +38,12 @@ from tallyline.sources import files
 
 #: Bytes of a task's files, and what opening one counts for.
 MOST_BYTES, OPEN_BYTES = 64 << 20, 256 << 10
+#: Tasks from which on they become larger.
+MANY = 500
+#: Lists of names that a commit reads side by side; files looked up at a time; the most digests that stand in an offset itself, where there is a folder for more.
+OPEN_LISTS, AT_A_TIME, INLINE = 200, 100_000, 1000
+#: A digest as two numbers, in the order of its bytes.
+MARK = np.dtype([("high", ">u8"), ("low", ">u8")])
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,33 +64,58 @@ def kind_of(data: bytes, name: str) -> str | None:
     return told or ("csv" if sum(more.count(x) for x in b";,\t") > 3 else None)
 
 
-@dataclass
 class Group(InputPartition):
-    """Files of one task: (name as it is shown, path, bytes)."""
+    """Files of one task: (name as it is shown, path, bytes). They are held packed, as all groups of a table pass through the driver."""
+
+    def __init__(self, files: Iterable[tuple[str, str, int]]):
+        super().__init__(None)
+        self.packed = zlib.compress(pickle.dumps(list(files)), 1)
 
-    files: list[tuple[str, str, int]]
+    @property
+    def files(self) -> list[tuple[str, str, int]]:
+        return pickle.loads(zlib.decompress(self.packed))
 
 
-def listed(path: str, suffix: str) -> list[tuple[str, str, int, int]]:
-    """Files under a path: (name as it is shown, path, bytes, time of the last change in ns)."""
+def listed(path: str, suffix: str) -> Iterator[tuple[str, str, int, int]]:
+    """Files under a path: (name as it is shown, path, bytes, time of the last change in ns), as they are found: a local folder is
+    read entry by entry, of another store one folder is held at a time."""
     store, root = opened(path)
-    info = store.get_file_info(root)
-    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
     prefix = path[: len(path.rstrip("/")) - len(root.rstrip("/"))] if "://" in path or path.startswith("file:") else ""
-    found = [f for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, suffix) and not f.base_name.startswith((".", "_"))]
-    return [(prefix + f.path, f.path, f.size, f.mtime_ns or 0) for f in found]
-
-
-def dealt(named: list[tuple[str, str, int]], most: int) -> list[InputPartition]:
-    """Files dealt to tasks by size."""
-    groups, size = [], most + 1
-    for x in sorted(named, key=lambda x: -x[2]):
-        if size + x[2] > most:
-            groups.append(Group([]))
-            size = 0
-        groups[-1].files.append(x)
+    good = lambda name: fnmatch.fnmatch(name, suffix) and not name.startswith((".", "_"))
+    info = store.get_file_info(root)
+    if info.type == fs.FileType.File:
+        yield from [(prefix + info.path, info.path, info.size, info.mtime_ns or 0)] if good(info.base_name) else []
+        return
+    folders = [root] if info.type == fs.FileType.Directory else []
+    while folders:
+        folder = folders.pop()
+        if isinstance(store, fs.LocalFileSystem):
+            with contextlib.suppress(FileNotFoundError), os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir():
+                        folders += [e.path] * (not e.name.startswith("_temporary-"))
+                    elif good(e.name) and e.is_file():
+                        with contextlib.suppress(FileNotFoundError):  # it may go meanwhile
+                            s = e.stat()
+                            yield prefix + e.path, e.path, s.st_size, s.st_mtime_ns
+            continue
+        for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f.type == fs.FileType.Directory:
+                folders += [f.path] * (not f.base_name.startswith("_temporary-"))
+            elif f.type == fs.FileType.File and good(f.base_name):
+                yield prefix + f.path, f.path, f.size, f.mtime_ns or 0
+
+
+def dealt(named: Iterable[tuple[str, str, int]], most: int) -> list[InputPartition]:
+    """Files dealt to tasks by size, in the order in which they come; tasks become larger once there are MANY of them."""
+    groups, held, size = [], [], 0
+    for x in named:
+        if held and size + x[2] > most * max(1, len(groups) // MANY):
+            groups.append(Group(held))
+            held, size = [], 0
+        held.append(x)
         size += x[2] + OPEN_BYTES
-    return groups or [Group([])]
+    return [*groups, Group(held)] if held or not groups else groups
 
 
 def rows_of(path: str, partition: Group) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -104,7 +145,7 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        named = [x[:3] for x in listed(self.path, self.suffix) if "file" not in self.wanted or x[0] in self.wanted["file"]]
+        named = (x[:3] for x in listed(self.path, self.suffix) if "file" not in self.wanted or x[0] in self.wanted["file"])
         return dealt(named, self.most)
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
@@ -119,32 +160,78 @@ class Arrivals(DataSourceStreamReader):
     An offset is the newest time seen and the digests of the files not older than ``lag`` seconds before it. So a file that shows
     up late, by at most ``lag`` (default: 600), is not missed, and an offset holds only the files of the last ``lag`` seconds. Both ends of a
     batch are in the stream's log: a batch that is run again has the same files, those deleted in between apart.
+
+    Where there is a ``log`` (a folder that the driver sees in all runs; keep it as long as the checkpoint), more than INLINE digests are a
+    file there, named by its content, and the offset has its name: an offset stays small however many files arrive at once.
     """
 
     def __init__(self, options: dict):
         self.path, self.suffix = options["path"], options.get("pathglobfilter", "*")
         self.most = int(options.get("maxpartitionbytes", MOST_BYTES))
-        self.lag = round(float(options.get("lag", 600)) * 1e9)
+        self.lag, self.log = round(float(options.get("lag", 600)) * 1e9), options.get("log")
 
     @staticmethod
-    def mark(x: tuple) -> str:
-        return hashlib.blake2b(f"{x[3]} {x[1]}".encode(), digest_size=16).hexdigest()
+    def mark(x: tuple) -> bytes:
+        return hashlib.blake2b(f"{x[3]} {x[1]}".encode(), digest_size=16).digest()
 
     def initialOffset(self) -> dict:
         return {"newest": 0, "recent": []}
 
     def latestOffset(self) -> dict:
-        found = listed(self.path, self.suffix)
-        newest = max((x[3] for x in found), default=0)
-        return {"newest": newest, "recent": sorted(self.mark(x) for x in found if x[3] >= newest - self.lag)}
-
-    def within(self, offset: dict) -> Callable[[tuple], bool]:
-        recent = set(offset["recent"])
-        return lambda x: x[3] < offset["newest"] - self.lag or self.mark(x) in recent
+        times, marks = array("q"), bytearray()
+        for x in listed(self.path, self.suffix):
+            times.append(x[3])
+            marks += self.mark(x)
+        at = np.frombuffer(times, "q") if times else np.empty(0, "q")
+        newest = int(at.max(initial=0))
+        recent = np.frombuffer(marks, MARK)[at >= newest - self.lag]
+        recent = recent[np.lexsort((recent["low"], recent["high"]))]
+        if self.log and len(recent) > INLINE:
+            return {"newest": newest, "recent": [], "listed": self.noted(recent.tobytes())}
+        return {"newest": newest, "recent": [x.tobytes().hex() for x in recent]}
+
+    def noted(self, data: bytes) -> str:
+        """Digests as a file of the log; it is whole as soon as it has its name."""
+        store, folder = opened(self.log)
+        name = hashlib.blake2b(data, digest_size=16).hexdigest()
+        if store.get_file_info(f"{folder}/{name}").type != fs.FileType.File:
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(own := f"{folder}/.{uuid.uuid4().hex}") as f:
+                f.write(data)
+            store.move(own, f"{folder}/{name}")
+        return name
+
+    def within(self, offset: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Whether files, by times and digests, are in an offset."""
+        if "listed" in offset:
+            store, folder = opened(self.log)
+            with store.open_input_stream(f"{folder}/{offset['listed']}") as f:
+                data = f.read()
+        else:
+            data = bytes.fromhex("".join(sorted(offset["recent"])))
+        recent = np.frombuffer(data, MARK)
+        high = recent["high"].astype("u8")
+
+        def held(times: np.ndarray, marks: np.ndarray) -> np.ndarray:
+            first, end = (np.searchsorted(high, marks["high"].astype("u8"), side) for side in ("left", "right"))
+            out = times < offset["newest"] - self.lag
+            for step in range(int((end - first).max(initial=0))):  # 1, but for digests with one first half
+                some = first + step < end
+                out[some] |= recent["low"][first[some] + step] == marks["low"][some]
+            return out
+
+        return held
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, until = self.within(start), self.within(end)
-        return dealt([x[:3] for x in listed(self.path, self.suffix) if until(x) and not before(x)], self.most)
+
+        def new() -> Iterator[tuple[str, str, int]]:
+            found = listed(self.path, self.suffix)
+            while some := list(itertools.islice(found, AT_A_TIME)):
+                of = np.array([x[3] for x in some], "q"), np.frombuffer(b"".join(map(self.mark, some)), MARK)
+                yield from (some[i][:3] for i in np.flatnonzero(until(*of) & ~before(*of)))
+
+        return dealt(new(), self.most)
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         """A file that cannot be read, is gone or has no row is one row with its error."""
@@ -163,7 +250,9 @@ class Arrivals(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """A list of names in order, each with its file (below the job's folder)."""
+
+    names: str
 
 
 class Writer(DataSourceWriter):
@@ -174,30 +263,54 @@ class Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         """Files of this try of a task, beside the place they go to: another try has names of its own."""
         store, root = opened(self.path)
-        folder = f"{root.rstrip('/')}/{self.job}/{uuid.uuid4().hex}"
+        job, own = f"{root.rstrip('/')}/{self.job}", uuid.uuid4().hex
+        folder = f"{job}/{own}"
         store.create_dir(folder, recursive=True)
-        moves = []
+        names = []
         for n, row in enumerate(rows):
             if not row.name or row.name in (".", "..") or "/" in row.name or row.name.startswith(("_", ".")):
                 raise ValueError(f"no name of a file: {row.name!r}")
             with store.open_output_stream(f"{folder}/{n}") as f:
                 f.write(row.content.encode() if isinstance(row.content, str) else bytes(row.content or b""))
-            moves.append((f"{folder}/{n}", f"{root.rstrip('/')}/{row.name}"))
-        return Written(moves)
+            names.append((row.name, f"{own}/{n}"))
+        return self.noted(f"{folder}/names", sorted(names))
+
+    def noted(self, at: str, names: Iterable[tuple[str, str]]) -> Written:
+        with opened(self.path)[0].open_output_stream(at, buffer_size=1 << 16) as f:
+            for x in names:
+                f.write(f"{json.dumps(x)}\n".encode())
+        return Written(at)
+
+    def written(self, messages: list[Written]) -> Iterator[tuple[str, str]]:
+        """(name, file) of lists in the order of names; only a piece of each list is held."""
+
+        def of(at: str) -> Iterator[tuple[str, str]]:
+            with opened(self.path)[0].open_input_stream(at, buffer_size=1 << 16) as f:
+                yield from (tuple(json.loads(x)) for x in io.TextIOWrapper(f, "utf-8", newline="\n"))
+
+        return heapq.merge(*(of(x.names) for x in messages))
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
-        moves = [m for x in messages if x for m in x.moves]
-        if len({to for _, to in moves}) < len(moves):
-            self.abort(messages)
-            raise ValueError("two rows have one name")
+        job, lists = f"{root.rstrip('/')}/{self.job}", [x for x in messages if x]
+        while len(lists) > OPEN_LISTS:
+            lists = [*lists[OPEN_LISTS:], self.noted(f"{job}/{uuid.uuid4().hex}", self.written(lists[:OPEN_LISTS]))]
+        last = None
+        for name, _ in self.written(lists):
+            if name == last:
+                self.abort(messages)
+                raise ValueError("two rows have one name")
+            last = name
         if self.overwrite and store.get_file_info(root).type == fs.FileType.Directory:
-            new = {to for _, to in moves}
-            for old in store.get_file_info(fs.FileSelector(root)):
-                if old.type == fs.FileType.File and old.path not in new:
-                    store.delete_file(old.path)
-        for source, to in moves:
-            store.move(source, to)
+            new = self.written(lists)
+            kept = next(new, None)
+            for name in sorted(f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File):
+                while kept and kept[0] < name:
+                    kept = next(new, None)
+                if not kept or kept[0] != name:
+                    store.delete_file(f"{root.rstrip('/')}/{name}")
+        for name, source in self.written(lists):
+            store.move(f"{job}/{source}", f"{root.rstrip('/')}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -208,7 +321,7 @@ class Writer(DataSourceWriter):
 
 
 class Statement(DataSource):
-    """options: path, pathGlobFilter, maxPartitionBytes; lag (of a stream, in seconds)."""
+    """options: path, pathGlobFilter, maxPartitionBytes; of a stream also lag (in seconds) and log (a folder)."""
 
     @classmethod
     def name(cls) -> str:

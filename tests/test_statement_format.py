@@ -1,11 +1,13 @@
 """The statement format: rows equal to read_statements, pushed filters, one file a row, commits and aborts."""
 
 import os
+import pickle
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tallyline.sources import files
+from tallyline.sources import files, statement_format
 from tallyline.sources.statement_format import kind_of, register
 from test_statements import ROW, xlsx
 
@@ -65,3 +67,28 @@ def test_writes_one_file_a_row(spark, tmp_path):
     assert (to / "s7.json").read_text() == '{"n": 7}' and not [x for x in os.listdir(to) if x.startswith("_")]
     df.limit(3).withColumn("content", F.encode(F.lit("é"), "UTF-8")).write.format("statement").mode("overwrite").save(str(to))
     assert len(os.listdir(to)) == 3 and {(to / x).read_text() for x in os.listdir(to)} == {"é"}
+
+
+def test_a_commit_gets_no_list_of_files(spark, tmp_path, monkeypatch):
+    """What a task sends and what a partition holds stays small; the names are lists beside the files, merged a few at a time."""
+    monkeypatch.setattr(statement_format, "OPEN_LISTS", 2)
+    monkeypatch.setattr(statement_format, "MANY", 3)
+    rows = [Row(name=f"{i} имя\t.csv", content=f"{i};x") for i in range(4000)]
+    w = statement_format.Writer({"path": str(tmp_path / "to")}, False)
+    sent = [w.write(iter(rows[k::7])) for k in range(7)]
+    assert all(len(pickle.dumps(x)) < 500 for x in sent)
+    w.commit([*sent, None])
+    assert sorted(os.listdir(tmp_path / "to")) == sorted(r.name for r in rows) and (tmp_path / "to" / rows[9].name).read_text() == "9;x"
+    (tmp_path / "to" / "_temporary-0").mkdir()
+    (tmp_path / "to" / "_temporary-0" / "0").write_text("of a writer")
+    parts = statement_format.Reader({"path": str(tmp_path / "to"), "maxpartitionbytes": 10 * statement_format.OPEN_BYTES}).partitions()
+    assert len(parts) < 60 and sorted(x[1] for p in parts for x in p.files) == sorted(str(tmp_path / "to" / r.name) for r in rows)
+    assert sum(len(pickle.dumps(p)) for p in parts) < 40 * len(rows)
+
+
+def test_files_are_made_in_many_tasks(spark):
+    """The table of one row group would have all files made and read in one task."""
+    from tallyline.plans.source_queries import read_workbooks
+
+    d = read_workbooks(spark, "/root/testdata/sf0.001")
+    assert d.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
