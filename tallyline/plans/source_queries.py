@@ -108,7 +108,7 @@ def statement_file_stream(spark, sf_dir):
     csvs = made(spark, sf_dir, separated, ".csv").select(k.alias("k"), F.concat(k.cast("string"), F.lit(".csv")).alias("name"), F.when(k % 5 != 0, F.col("content")).alias("content"))
     for part in (0, 1):
         csvs.where(F.col("k") % 2 == part).select("name", "content").write.format("statement").mode("append").save(f"{folder}/in")
-        grid = spark.readStream.format("statement").load(f"{folder}/in")
+        grid = spark.readStream.format("statement").option("log", f"{folder}/log").load(f"{folder}/in")
         persist_stream(grid, f"{folder}/kept", f"{folder}/checkpoint", now=True).awaitTermination()
     both = stored(spark, f"{folder}/kept", False).unionByName(stored(spark, f"{folder}/kept", True))
     return both.select(F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "row_idx", F.array_join("cells", "|").alias("cells"), "error")

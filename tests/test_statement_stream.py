@@ -65,3 +65,19 @@ def test_an_offset_holds_recent_files_only(tmp_path):
     assert len(end["recent"]) == 10
     parts = s.partitions(s.initialOffset(), end)
     assert sum(len(p.files) for p in parts) == 50 and s.partitions(end, end)[0].files == []
+
+
+def test_many_arrivals_leave_offsets_small(tmp_path, monkeypatch):
+    monkeypatch.setattr(sf, "INLINE", 5)
+    monkeypatch.setattr(sf, "AT_A_TIME", 7)
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        arrive(tmp_path / "in", f"{i}.csv", "a;b", 1_000_000 + i)
+    s = sf.Arrivals({"path": str(tmp_path / "in"), "log": str(tmp_path / "log")})
+    first = s.latestOffset()
+    assert len(str(first)) < 200 and s.latestOffset() == first and len(os.listdir(tmp_path / "log")) == 1
+    arrive(tmp_path / "in", "late.csv", "a;b", 999_900)
+    arrive(tmp_path / "in", "new.csv", "a;b", 1_000_100)
+    end = s.latestOffset()
+    names = lambda a, b: sorted(os.path.basename(x[0]) for p in s.partitions(a, b) for x in p.files)
+    assert names(s.initialOffset(), first) == sorted(f"{i}.csv" for i in range(40)) and names(first, end) == ["late.csv", "new.csv"] and names(end, end) == []
